@@ -5,13 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernstone.llm import components, tokens
+from quernstone.llm import components, near, tokens
 from quernstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Blocks are similar from 0.7 on (TESTDATA.md).
+BLOCKS = near.Settings(threshold=0.7)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of blocks whose sets of n-grams are similar enough."""
+    found = near.pairs(table(spark, folder, "blocks", "block_id", "ngrams"), "block_id", "ngrams", BLOCKS)
+    return found.select(F.col("id1").alias("block_id1"), F.col("id2").alias("block_id2"))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each block with n-grams: class of equal sets, links to other classes, and group."""
+    return near.membership(table(spark, folder, "blocks", "block_id", "ngrams"), "block_id", "ngrams", BLOCKS)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every matched block with the smallest block_id of its group."""
     return components.groups(table(spark, folder, "same_blocks"), "block_id1", "block_id2", node="block_id")
@@ -22,9 +38,24 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p6_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p6_ids)}
+
+#: Blocks as sets, every pair that shares an n-gram, and the pairs that are similar enough.
+_SIMILAR_BLOCKS = """
+    items AS MATERIALIZED (SELECT DISTINCT block_id, unnest(ngrams) AS g FROM blocks),
+    sizes AS MATERIALIZED (SELECT block_id, count(*) AS n FROM items GROUP BY block_id),
+    shared AS MATERIALIZED (
+        SELECT x.block_id AS a, y.block_id AS b, count(*) AS k
+        FROM items x JOIN items y ON x.g = y.g AND x.block_id < y.block_id GROUP BY ALL
+    ),
+    similar_blocks AS MATERIALIZED (
+        SELECT a, b FROM shared JOIN sizes p ON p.block_id = a JOIN sizes q ON q.block_id = b
+        WHERE k >= 0.7 * (p.n + q.n - k)
+    )
+"""
 
 ORACLES: dict[str, str] = {
+    "p3_found": f"WITH {_SIMILAR_BLOCKS} SELECT a AS block_id1, b AS block_id2 FROM similar_blocks",
     "p5_found": """
         WITH RECURSIVE links AS (
             SELECT DISTINCT block_id1 AS a, block_id2 AS b FROM same_blocks
