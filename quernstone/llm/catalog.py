@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import components, near, tokens
+from quernstone.llm import components, lookalike, near, tokens
 from quernstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,18 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near.membership(table(spark, folder, "blocks", "block_id", "ngrams"), "block_id", "ngrams", BLOCKS)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of pages whose title or text looks the same but is not the same string."""
+    found = lookalike.alike_pairs(table(spark, folder, "wiki_pages", "page_id", "title", "text"), "page_id", ["title", "text"])
+    return found.select(F.col("field").alias("page_field"), F.col("id1").alias("page_id1"), F.col("id2").alias("page_id2"))
+
+
+def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Title and text of every page in their consistent form."""
+    pages = table(spark, folder, "wiki_pages", "page_id", "title", "text").distinct()
+    return pages.select("page_id", lookalike.consistent("title").alias("title"), lookalike.consistent("text").alias("text"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every matched block with the smallest block_id of its group."""
     return components.groups(table(spark, folder, "same_blocks"), "block_id1", "block_id2", node="block_id")
@@ -38,7 +51,24 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p5_found, p6_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_forms, p5_found, p6_ids)}
+
+def _folded(column: str) -> str:
+    """SQL for the consistent form, as far as the characters of the test tables go: one translation, then composition."""
+    single = [c for c in (*range(0xFF01, 0xFFE7), *range(0x2F00, 0x2FD6)) if len(unicodedata.normalize("NFKC", chr(c))) == 1]
+    plain = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in single}
+    plain |= dict.fromkeys("\u00a0\u2007\u202f\u3000", " ") | dict(zip(*lookalike.CYRILLIC)) | dict(zip(*lookalike.GREEK))
+    plain |= dict.fromkeys(lookalike.DOTS, "\u00b7") | dict.fromkeys(lookalike.HYPHENS, "-") | {"\uff9e": "\u3099"}
+    shown = f"regexp_replace({column}, '[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]', '', 'g')"
+    left, right = ("".join(x).replace("'", "''") for x in (plain.keys(), plain.values()))
+    return f"nfc_normalize(translate({shown}, '{left}', '{right}'))"
+
+
+_FORMS = f"""
+    pages AS MATERIALIZED (
+        SELECT DISTINCT page_id, unnest(['title', 'text']) AS page_field, unnest([title, text]) AS value FROM wiki_pages
+    ), forms AS MATERIALIZED (SELECT *, {_folded('value')} AS form FROM pages WHERE value IS NOT NULL)
+"""
 
 #: Blocks as sets, every pair that shares an n-gram, and the pairs that are similar enough.
 _SIMILAR_BLOCKS = """
@@ -55,6 +85,13 @@ _SIMILAR_BLOCKS = """
 """
 
 ORACLES: dict[str, str] = {
+    "p4_found": f"""WITH {_FORMS}
+        SELECT DISTINCT x.page_field, x.page_id AS page_id1, y.page_id AS page_id2
+        FROM forms x JOIN forms y ON x.page_field = y.page_field AND x.form = y.form AND x.value <> y.value AND x.page_id < y.page_id
+    """,
+    "p4_forms": f"""WITH pages AS (SELECT DISTINCT page_id, title, text FROM wiki_pages)
+        SELECT page_id, {_folded('title')} AS title, {_folded('text')} AS text FROM pages
+    """,
     "p3_found": f"WITH {_SIMILAR_BLOCKS} SELECT a AS block_id1, b AS block_id2 FROM similar_blocks",
     "p5_found": """
         WITH RECURSIVE links AS (

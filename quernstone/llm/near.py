@@ -32,10 +32,10 @@ from quernstone.plans.lineage import checkpointed, staged
 
 @dataclass(frozen=True)
 class Settings:
-    """At similarity s a pair becomes a candidate with probability 1 - (1 - s**rows)**bands: 0.9998 at 0.7, 0.99999 at 0.75."""
+    """At similarity s a pair becomes a candidate with probability 1 - (1 - s**rows)**bands: 0.99999 at 0.7."""
 
     threshold: float = 0.8
-    bands: int = 48
+    bands: int = 64
     rows: int = 5
     segments: int = 32
     segment_bits: int = 16
