@@ -4,16 +4,30 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import components, lookalike, near, tokens
+from quernstone.llm import components, lookalike, near, split, tokens
 from quernstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every text of the tables that have a split limit."""
+    limits = split.limits(table(spark, folder, "size_limits"))
+    parts = [split.split(table(spark, folder, name, "file_name", "text"), "file_name", "text", name, limit) for name, limit in sorted(limits.items())]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that had to be cut without a boundary, confirmed by the length of the stretch that holds none."""
+    forced = p2_pieces(spark, folder).where(F.col("forced") & (F.col("longest_run") > F.col("max_size")))
+    return forced.select("item_table", "file_name").distinct()
+
+
 #: Blocks are similar from 0.7 on (TESTDATA.md).
 BLOCKS = near.Settings(threshold=0.7)
 
@@ -51,7 +65,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_forms, p5_found, p6_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p5_found, p6_ids)}
 
 def _folded(column: str) -> str:
     """SQL for the consistent form, as far as the characters of the test tables go: one translation, then composition."""
@@ -84,7 +98,17 @@ _SIMILAR_BLOCKS = """
     )
 """
 
+_WALLS = "[\\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + split.MARKS + "]"
+
 ORACLES: dict[str, str] = {
+    "p2_found": f"""
+        WITH items AS (
+            SELECT 'corpus_files' AS item_table, file_name, text FROM corpus_files
+            UNION SELECT 'tokenizer_files', file_name, text FROM tokenizer_files
+        )
+        SELECT DISTINCT item_table, file_name FROM items JOIN size_limits USING (item_table)
+        WHERE purpose = 'split' AND list_max(list_transform(regexp_split_to_array(text, '{_WALLS}'), lambda x: length(x))) > max_size
+    """,
     "p4_found": f"""WITH {_FORMS}
         SELECT DISTINCT x.page_field, x.page_id AS page_id1, y.page_id AS page_id2
         FROM forms x JOIN forms y ON x.page_field = y.page_field AND x.form = y.form AND x.value <> y.value AND x.page_id < y.page_id
