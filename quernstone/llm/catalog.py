@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import components, lookalike, near, split, tokens
+from quernstone.llm import components, lookalike, near, split, tokens, truncation
 from quernstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +65,18 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "ids")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p5_found, p6_ids)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text was cut."""
+    rows = truncation.cut_rows(table(spark, folder, "documents", "doc_id", "text", "source"))
+    return rows.where("is_cut").select("doc_id").distinct()
+
+
+def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source, the share of its documents that are cut."""
+    return truncation.shares(table(spark, folder, "documents", "doc_id", "text", "source"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p5_found, p6_ids, p8_found, p8_sources)}
 
 def _folded(column: str) -> str:
     """SQL for the consistent form, as far as the characters of the test tables go: one translation, then composition."""
