@@ -14,6 +14,8 @@ WHOLE, OPEN, CUT = 0, 1, 2
 #: What may follow a cut: blanks, half a character, an omission mark, an invitation to read on.
 TRAIL = re.compile(r"[\s�​﻿]+\Z")
 OMISSION = re.compile(r"(?:…+|\.{3,}|\[\s*(?:…|\.{3}|more)\s*\]|[（(\[]\s*(?:阅读全文|閱讀全文|未完|待续|待續|continued|read more|more|weiterlesen)[^）)\]]{0,6}[）)\]]|(?:阅读全文|閱讀全文|read more|continue reading|weiterlesen)\s*[»>]*)\Z", re.I)
+#: The full ellipsis of Chinese print, which writers set after a statement; only other texts can tell it from a cut.
+WRITTEN = re.compile(r"\S……\Z")
 FINAL_MARK = re.compile(r"[（(\[]\s*(?:完|全文完|終|终|end|ende|fin)\s*[）)\]]\Z", re.I)
 NOTE_MARK = re.compile(r"(?:\[\d{1,3}\]|<ref[^<>]*/>|<ref[^<>]*>(?:(?!</ref>).)*</ref>)\Z", re.S)
 STOP = "。！？!?.｡"
@@ -148,7 +150,7 @@ def _ending(text: str) -> Ending:
     if ITEM.match(line) and not prose:
         return Ending(OPEN, "item", unit)
     if omitted:
-        return Ending(CUT if invited else OPEN, "omission", unit)
+        return Ending(CUT if invited else OPEN, "ellipsis" if WRITTEN.search(text.rstrip()) else "omission", unit)
     before = next((x for x in reversed(lines[:-1]) if x.strip()), "")
     if prose or HEADING.match(before) or (re.search(r"[，。；！？]|[a-z], ", before) and not ITEM.match(line)) or before.rstrip().endswith(tuple(STOP)):
         return Ending(CUT, "sentence", unit)

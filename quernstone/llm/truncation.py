@@ -94,7 +94,8 @@ def judged(df: DataFrame, text: str, source: str) -> DataFrame:
     follows = follows.where(F.expr("startswith(following, edge)")).withColumn("on", F.udf(continued, "boolean")("edge", "following")).where("on")
     verdicts = verdicts.drop("edge").join(follows.select("h1", "h2", F.lit(True).alias("crossed")), ["h1", "h2"], "left")
     verdicts = verdicts.withColumn("longer", F.col("longer") | F.coalesce("crossed", F.lit(False))).drop("crossed")
-    # Last clauses before an omission mark: those that are whole clauses somewhere end a full statement.
+    # Last clauses before an omission mark: those that are whole clauses somewhere end a full statement. A clause that is
+    # seen nowhere else is taken for cut, but for one before the full ellipsis, which needs a size limit as evidence.
     asked = verdicts.where((F.col("verdict") == OPEN) & (F.col("reason") == "omission")).select("h1", "h2", F.xxhash64("unit").alias("unit"))
     clause = F.regexp_extract_all("text", F.lit(r"([^。！？!?.，、,；;：:\n“”「」]+)[。！？!?.]"), F.lit(1))
     whole = texts.select(F.explode(clause).alias("c")).select(F.xxhash64(F.trim("c")).alias("unit")).distinct()
