@@ -27,6 +27,9 @@ RANGE_KEY = 1024
 RANGE_SAMPLE = 20
 #: Cuts of one source at one size that make the place a limit of that source.
 PILE = 3
+#: Clauses keep the stop that ends them.
+STOPS = "。！？!?."
+CLAUSES = f"(?<=[{STOPS}])|[，、,；;：:\n“”「」]"
 JUDGED = "h1 bigint, h2 bigint, verdict int, reason string, unit string, size int, longer boolean, edge string"
 
 
@@ -97,8 +100,8 @@ def judged(df: DataFrame, text: str, source: str) -> DataFrame:
     # Last clauses before an omission mark: those that are whole clauses somewhere end a full statement. A clause that is
     # seen nowhere else is taken for cut, but for one before the full ellipsis, which needs a size limit as evidence.
     asked = verdicts.where((F.col("verdict") == OPEN) & (F.col("reason") == "omission")).select("h1", "h2", F.xxhash64("unit").alias("unit"))
-    clause = F.regexp_extract_all("text", F.lit(r"([^。！？!?.，、,；;：:\n“”「」]+)[。！？!?.]"), F.lit(1))
-    whole = texts.select(F.explode(clause).alias("c")).select(F.xxhash64(F.trim("c")).alias("unit")).distinct()
+    pieces = texts.select(F.explode(F.split("text", CLAUSES)).alias("c")).where(F.substring("c", -1, 1).isin(*STOPS))
+    whole = pieces.select(F.xxhash64(F.expr(f"trim(trim(TRAILING '{STOPS}' FROM c))")).alias("unit")).distinct()
     stated = asked.join(whole, "unit", "left_semi").select("h1", "h2", F.lit(True).alias("stated"))
     verdicts = verdicts.join(stated, ["h1", "h2"], "left")
     sure = (F.col("verdict") == CUT) | ((F.col("verdict") == OPEN) & (F.col("longer") | ((F.col("reason") == "omission") & F.col("stated").isNull())))
