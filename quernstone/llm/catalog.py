@@ -9,12 +9,23 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import components, lookalike, near, split, tokens, truncation
+from quernstone.llm import components, lookalike, near, quality, split, tokens, truncation
 from quernstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics, tails within the language and outlier score of every file."""
+    words = quality.vocabulary(table(spark, folder, "common_words"))
+    return quality.scored(quality.statistics(table(spark, folder, "corpus_files", "file_name", "text"), "file_name", "text", words), "file_name").drop("digest")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files whose text is not natural prose."""
+    return quality.no_prose(p1_statistics(spark, folder)).select("file_name").distinct()
+
+
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every text of the tables that have a split limit."""
     limits = split.limits(table(spark, folder, "size_limits"))
@@ -76,7 +87,7 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.shares(table(spark, folder, "documents", "doc_id", "text", "source"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p5_found, p6_ids, p8_found, p8_sources)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p5_found, p6_ids, p8_found, p8_sources)}
 
 def _folded(column: str) -> str:
     """SQL for the consistent form, as far as the characters of the test tables go: one translation, then composition."""
