@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import components, lookalike, near, quality, split, tokens, truncation
+from quernstone.llm import components, lookalike, near, pack, quality, split, tokens, truncation
 from quernstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,18 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "ids")
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every document, or of every piece of one that exceeds a container."""
+    limit = split.limits(table(spark, folder, "size_limits"), "pack")["documents"]
+    return pack.pack(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", pack.Settings(limit.max_size))
+
+
+def p7_fills(spark: SparkSession, folder: str) -> DataFrame:
+    """How full every container is."""
+    limit = split.limits(table(spark, folder, "size_limits"), "pack")["documents"]
+    return pack.fills(p7_containers(spark, folder), limit.max_size)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose text was cut."""
     rows = truncation.cut_rows(table(spark, folder, "documents", "doc_id", "text", "source"))
@@ -87,7 +99,7 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.shares(table(spark, folder, "documents", "doc_id", "text", "source"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p5_found, p6_ids, p8_found, p8_sources)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p5_found, p6_ids, p7_containers, p7_fills, p8_found, p8_sources)}
 
 def _folded(column: str) -> str:
     """SQL for the consistent form, as far as the characters of the test tables go: one translation, then composition."""

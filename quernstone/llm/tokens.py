@@ -11,6 +11,7 @@ import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -95,7 +96,7 @@ def encode_array(texts: pa.Array, vocabulary: Vocabulary) -> pa.ListArray:
     lists = [encode_text(t, vocabulary) for t in texts.to_pylist()]
     offsets = np.zeros(len(lists) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
-    values = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(offsets[-1]))
+    values = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(offsets[-1]))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
