@@ -30,9 +30,13 @@ def grams(text: Column | str, keep_trailing: bool = True) -> Column:
 
 def shingles(grams_: Column | str, k: int) -> Column:
     """Runs of ``k`` grams joined by a blank, in order, with repeats; empty where there are fewer than ``k``."""
-    grams_ = _col(grams_)
-    runs = F.transform(F.sequence(F.lit(1), F.size(grams_) - k + 1), lambda i: F.array_join(F.slice(grams_, i, k), " "))
-    return F.when(F.size(grams_) >= k, runs).otherwise(F.array().cast("array<string>"))
+
+    def of(held: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(held) - k + 1), lambda i: F.array_join(F.slice(held, i, k), " "))
+        return F.when(F.size(held) >= k, runs).otherwise(F.array().cast("array<string>"))
+
+    # As a lambda variable the grams are computed once; written out they would be computed again for every shingle.
+    return F.element_at(F.transform(F.array(_col(grams_)), of), 1)
 
 
 def chapter_blocks(text: Column | str) -> Column:
@@ -41,9 +45,9 @@ def chapter_blocks(text: Column | str) -> Column:
 
 
 def length_blocks(text: Column | str, size: int = 1000) -> Column:
-    """Consecutive slices of ``size`` characters (one empty slice of an empty text)."""
+    """Consecutive slices of ``size`` characters (one empty slice of an empty text, none of a null)."""
     text = _col(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(text) / size).cast("int") - 1))
+    starts = F.when(text.isNotNull(), F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(text) / size).cast("int") - 1)))
     return F.transform(starts, lambda i: F.substring(text, i * size + 1, F.lit(size)))
 
 
@@ -89,6 +93,11 @@ def simplified(text: Column | str) -> Column:
     return F.translate(_col(text), TRADITIONAL, SIMPLIFIED)
 
 
+def stripped(text: Column | str) -> Column:
+    """The text without white space at its ends (in Unicode's sense)."""
+    return F.regexp_replace(_col(text), r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
+
+
 def visible_length(text: Column | str) -> Column:
     """Number of characters that are not white space."""
     return F.length(F.regexp_replace(_col(text), r"\s", ""))

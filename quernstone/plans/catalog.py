@@ -1,10 +1,509 @@
-"""Queries by name, and the SQL that checks them."""
+"""Queries by name, and the SQL that checks them.
+
+Exact duplicate rows of a table count once, so tables are read through ``rows``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernstone.functions import hashing, html, render, wikitext
+from quernstone.functions import text as T
+from quernstone.functions.rules import CONTAINS, EQUALS, SECTIONS_DROPPED, SIMPLIFIED, TRADITIONAL, matches
+from quernstone.operators import blocks as B
+from quernstone.operators import dedup, messages, minhash, pages, tokenize
+from quernstone.plans import pipeline
+from quernstone.sources import sinks
+from quernstone.sources.tables import table
+from quernstone.streaming import stages
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+def rows(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    return table(spark, folder, name, *columns).distinct()
+
+
+# Blocks and shingles.
+
+_FILES = "files AS MATERIALIZED (SELECT DISTINCT file_name, text FROM corpus_files WHERE text IS NOT NULL)"
+_CHAPTERS = rf"""{_FILES}, cut AS MATERIALIZED (
+    SELECT file_name, string_split(regexp_replace(text, '(##+)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM files
+), chapters AS MATERIALIZED (
+    SELECT file_name, unnest(range(len(parts))) AS seq, unnest(parts) AS text FROM cut
+)"""
+_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_GRAMS = rf"regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9{_SPACE}]')"
+
+
+def _sql_shingles(grams: str, k: int) -> str:
+    return f"list_transform(range(1, len({grams}) - {k} + 2), lambda i: array_to_string({grams}[i:i + {k} - 1], ' '))"
+
+
+@query(f"WITH {_CHAPTERS} SELECT file_name, seq::INTEGER AS seq, file_name || '_' || seq AS block_id, text FROM chapters")
+def chapter_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapter blocks of every file."""
+    return B.explode_blocks(rows(spark, folder, "corpus_files", "file_name", "text"))
+
+
+@query("""
+    WITH files AS (SELECT DISTINCT file_name, text FROM tokenizer_files WHERE text IS NOT NULL),
+    cut AS (SELECT file_name, text, unnest(range(greatest(1, ceil(length(text) / 1000.0)::INTEGER))) AS seq FROM files)
+    SELECT file_name, seq::INTEGER AS seq, file_name || '_' || seq AS block_id, substring(text, seq::INTEGER * 1000 + 1, 1000) AS text FROM cut
+""")
+def length_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Slices of 1000 characters of every file."""
+    return B.explode_blocks(rows(spark, folder, "tokenizer_files", "file_name", "text"), blocker="length", size=1000)
+
+
+@query(f"""
+    WITH counted AS (SELECT doc_id, text, {_GRAMS} AS grams FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, len(grams)::INTEGER AS grams, greatest(0, len(grams) - 2)::INTEGER AS shingles,
+           CASE WHEN regexp_matches(text, '[A-Za-z0-9]$') THEN len(grams) - 1 ELSE len(grams) END::INTEGER AS flushed_grams
+    FROM counted
+""")
+def doc_grams(spark: SparkSession, folder: str) -> DataFrame:
+    """Grams and shingles of every document, and its grams without a run at the very end."""
+    docs = table(spark, folder, "documents", "doc_id", "text").where("text is not null")
+    grams = F.size(T.grams("text"))
+    return docs.select("doc_id", grams.alias("grams"), F.greatest(F.lit(0), grams - 2).alias("shingles"), F.size(T.grams("text", keep_trailing=False)).alias("flushed_grams"))
+
+
+@query(f"""
+    WITH {_CHAPTERS}, g AS MATERIALIZED (SELECT file_name || '_' || seq AS block_id, {_GRAMS} AS grams FROM chapters)
+    SELECT block_id, {_sql_shingles('grams', 3)} AS ngrams FROM g
+""")
+def block_shingles(spark: SparkSession, folder: str) -> DataFrame:
+    """Three-gram shingles of every chapter block."""
+    return B.with_shingles(B.explode_blocks(rows(spark, folder, "corpus_files", "file_name", "text"))).select("block_id", "ngrams")
+
+
+@query(r"SELECT DISTINCT block_id, regexp_extract(block_id, '(?s)^(.*)_(\d+)$', 1) AS file_name, regexp_extract(block_id, '(?s)^(.*)_(\d+)$', 2)::INTEGER AS seq FROM blocks")
+def block_id_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """File name and number of every block id."""
+    return B.split_block_id(rows(spark, folder, "blocks", "block_id"))
+
+
+# Near-duplicates.
+
+LSH = minhash.LshConfig()
+_PAIRS = hashing.coefficients(LSH.hashes)
+_REPRESENTATIVES = """
+    held AS MATERIALIZED (SELECT DISTINCT block_id, text, ngrams FROM blocks),
+    classes AS MATERIALIZED (SELECT block_id, min(block_id) OVER (PARTITION BY text) AS class_id, ngrams FROM held),
+    shingled AS MATERIALIZED (SELECT block_id, ngrams FROM classes WHERE block_id = class_id AND len(ngrams) > 0)
+"""
+_SIGNED = f"""{_REPRESENTATIVES},
+    hashed AS MATERIALIZED (
+        SELECT block_id, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM (SELECT block_id, unnest(ngrams) AS g FROM shingled)
+    ),
+    signed AS MATERIALIZED (
+        SELECT block_id, [{', '.join(f'min((h * {a} + {b}) % {hashing.PRIME})' for a, b in _PAIRS)}] AS signature FROM hashed GROUP BY block_id
+    )
+"""
+_BANDED = f"""{_SIGNED},
+    banded AS MATERIALIZED (
+        SELECT block_id, unnest([0, 1])::INTEGER AS band, unnest([signature[1:2], signature[3:4]]) AS key FROM signed
+    )
+"""
+_CANDIDATES = f"""{_BANDED},
+    candidates AS MATERIALIZED (
+        SELECT DISTINCT x.block_id AS block_id1, y.block_id AS block_id2
+        FROM banded x JOIN banded y ON x.band = y.band AND x.key = y.key AND x.block_id < y.block_id
+    )
+"""
+_VERIFIED = f"""{_CANDIDATES},
+    sets AS MATERIALIZED (SELECT block_id, list_distinct(ngrams) AS s FROM shingled),
+    measured AS MATERIALIZED (
+        SELECT block_id1, block_id2, len(list_intersect(p.s, q.s)) AS k, len(p.s) + len(q.s) AS n
+        FROM candidates JOIN sets p ON p.block_id = block_id1 JOIN sets q ON q.block_id = block_id2
+    ),
+    verified AS MATERIALIZED (
+        SELECT block_id1, block_id2, 1 - k / (n - k) AS distance FROM measured WHERE 1 - k / (n - k) <= {LSH.max_distance}
+    )
+"""
+_COMPONENTS = f"""{_VERIFIED},
+    links AS MATERIALIZED (
+        SELECT block_id1 AS a, block_id2 AS b FROM verified
+        UNION SELECT block_id, class_id FROM classes WHERE block_id <> class_id AND len(ngrams) > 0
+    ),
+    both_ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach(block_id, seen) AS (
+        SELECT block_id, block_id FROM held UNION SELECT r.block_id, e.b FROM reach r JOIN both_ways e ON e.a = r.seen
+    ),
+    components AS MATERIALIZED (SELECT block_id, min(seen) AS component FROM reach GROUP BY block_id)
+"""
+
+
+def _blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "blocks", "block_id", "text")
+
+
+def _shingled(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a distinct text that has shingles."""
+    held = minhash.representatives(table(spark, folder, "blocks", "block_id", "text", "ngrams"), ["ngrams"])
+    return held.where(F.size("ngrams") > 0)
+
+
+def _banded(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.bands(minhash.signatures(_shingled(spark, folder), LSH), LSH)
+
+
+@query(f"WITH {_SIGNED} SELECT * FROM signed")
+def minhash_signature(spark: SparkSession, folder: str) -> DataFrame:
+    """Signature of every distinct block text."""
+    return minhash.signatures(_shingled(spark, folder), LSH)
+
+
+@query()
+def murmur_signature(spark: SparkSession, folder: str) -> DataFrame:
+    """Signatures of the shift family."""
+    return _shingled(spark, folder).select("block_id", hashing.murmur3_signature("ngrams").alias("signature"))
+
+
+@query(f"WITH {_BANDED} SELECT * FROM banded")
+def lsh_bands(spark: SparkSession, folder: str) -> DataFrame:
+    return _banded(spark, folder)
+
+
+@query(f"WITH {_BANDED} SELECT band, key, count(*) AS blocks, min(block_id) AS first_block, max(block_id) AS last_block FROM banded GROUP BY band, key HAVING count(*) > 1")
+def band_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.buckets(_banded(spark, folder))
+
+
+@query(f"WITH {_CANDIDATES} SELECT * FROM candidates")
+def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.candidates(_banded(spark, folder))
+
+
+@query(f"WITH {_VERIFIED} SELECT block_id1, block_id2, round(distance, 9) AS distance FROM verified")
+def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of distinct texts within the largest distance (``block_classes`` says which blocks a text stands for)."""
+    pairs = minhash.verified(minhash.candidates(_banded(spark, folder)), _shingled(spark, folder), LSH)
+    return pairs.withColumn("distance", F.round("distance", 9))
+
+
+@query(f"""
+    WITH {_CANDIDATES}, sizes AS (SELECT block_id, len(list_distinct(ngrams)) AS n FROM shingled)
+    SELECT block_id1, block_id2, round(1 - p.n / q.n, 9) AS distance
+    FROM candidates JOIN sizes p ON p.block_id = block_id1 JOIN sizes q ON q.block_id = block_id2 WHERE 1 - p.n / q.n <= {LSH.max_distance}
+""")
+def size_ratio_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates by the size ratio, for comparison with results made elsewhere."""
+    pairs = minhash.verified(minhash.candidates(_banded(spark, folder)), _shingled(spark, folder), LSH, minhash.size_ratio_distance)
+    return pairs.withColumn("distance", F.round("distance", 9))
+
+
+@query(f"WITH {_REPRESENTATIVES} SELECT block_id, class_id FROM classes")
+def block_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.exact_classes(_blocks(spark, folder))
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT * FROM components")
+def dup_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Component of every block."""
+    return dedup.block_components(_blocks(spark, folder), LSH)
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT block_id, text FROM held JOIN components USING (block_id) WHERE block_id = component")
+def dedup_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.survivors(_blocks(spark, folder).distinct(), LSH)
+
+
+@query(rf"""
+    WITH RECURSIVE {_COMPONENTS}, kept AS (
+        SELECT regexp_extract(block_id, '(?s)^(.*)_(\d+)$', 1) AS file_name, regexp_extract(block_id, '(?s)^(.*)_(\d+)$', 2)::INTEGER AS seq, text
+        FROM held JOIN components USING (block_id) WHERE block_id = component
+    ) SELECT file_name, string_agg(text, chr(10) ORDER BY seq) AS text FROM kept GROUP BY file_name
+""")
+def dedup_blocks_assembled(spark: SparkSession, folder: str) -> DataFrame:
+    """The surviving blocks of the block table, put together by file."""
+    return dedup.assembled(B.split_block_id(dedup.survivors(_blocks(spark, folder).distinct(), LSH)))
+
+
+def _chapters_as_blocks() -> str:
+    """The chain above over the chapters of the files instead of the block table."""
+    source = f"""{_CHAPTERS}, grammed AS MATERIALIZED (SELECT file_name || '_' || seq AS block_id, text, {_GRAMS} AS grams FROM chapters),
+    held AS MATERIALIZED (SELECT block_id, text, {_sql_shingles('grams', 3)} AS ngrams FROM grammed),"""
+    return _COMPONENTS.replace("held AS MATERIALIZED (SELECT DISTINCT block_id, text, ngrams FROM blocks),", source)
+
+
+@query(f"""
+    WITH RECURSIVE {_chapters_as_blocks()}
+    SELECT file_name, string_agg(c.text, chr(10) ORDER BY seq) AS text
+    FROM chapters c JOIN components k ON k.block_id = file_name || '_' || seq AND k.component = k.block_id GROUP BY file_name
+""")
+def dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Files without their near-duplicate chapters."""
+    return dedup.deduplicated(table(spark, folder, "corpus_files", "file_name", "text"), LSH)
+
+
+@query("""
+    WITH files AS (SELECT DISTINCT file_name, text FROM corpus_files)
+    SELECT min(file_name) AS file_name, count(*) AS copies, text FROM files GROUP BY text
+""")
+def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup.exact_deduplicated(table(spark, folder, "corpus_files"))
+
+
+# Pages.
+
+_KEPT = "title IS NOT NULL AND NOT contains(title, ':') AND text IS NOT NULL AND NOT regexp_matches(lower(text), '#redirect|#重定向')"
+_FILE_NAME = r"""regexp_replace(title, '[<>:"/?*|\\]', '_', 'g') || '.txt'"""
+_PAGES = "pages AS MATERIALIZED (SELECT DISTINCT page_id, title, text FROM wiki_pages)"
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return rows(spark, folder, "wiki_pages", "page_id", "title", "text")
+
+
+@query(f"WITH {_PAGES} SELECT page_id, title FROM pages WHERE {_KEPT}")
+def page_ignore_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that are articles."""
+    return pages.articles(_pages(spark, folder)).select("page_id", "title")
+
+
+@query(f"""
+    WITH {_PAGES}, judged AS (
+        SELECT CASE WHEN title IS NULL THEN 'no title' WHEN contains(title, ':') THEN 'other namespace' WHEN text IS NULL THEN 'no text'
+               WHEN regexp_matches(lower(text), '#redirect|#重定向') THEN 'redirect' END AS reason FROM pages
+    ) SELECT reason, count(*) AS rows FROM judged WHERE reason IS NOT NULL GROUP BY reason
+""")
+def page_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """How many pages are ignored, and why."""
+    return sinks.rejected(_pages(spark, folder), pages.ignored_reason())
+
+
+@query(f"WITH {_PAGES} SELECT page_id FROM pages WHERE regexp_matches(lower(text), '#redirect|#重定向')")
+def redirect_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder).where(T.is_redirect("text")).select("page_id")
+
+
+@query(f"WITH {_PAGES} SELECT page_id, title FROM pages WHERE {_KEPT} AND {_FILE_NAME} NOT IN (SELECT file_name FROM corpus_files)")
+def pages_to_do(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles that the cleaned corpus does not hold yet."""
+    done = rows(spark, folder, "corpus_files", "file_name")
+    return pages.articles(_pages(spark, folder), done).select("page_id", "title")
+
+
+@query(rf"""
+    SELECT DISTINCT title, {_FILE_NAME} AS file_name, regexp_replace(title, '[<>:"/?*]|\|\|', '_', 'g') || '.txt' AS plain_name
+    FROM documents WHERE title IS NOT NULL
+""")
+def title_to_filename(spark: SparkSession, folder: str) -> DataFrame:
+    """File names of all titles, by the full and by the plain rule."""
+    titles = rows(spark, folder, "documents", "title").where("title is not null")
+    return titles.select("title", T.file_name("title").alias("file_name"), T.file_name("title", pipes_in_pairs=True).alias("plain_name"))
+
+
+_VIEWS = "views AS MATERIALIZED (SELECT title, sum(coalesce(view_count, 0))::BIGINT AS views FROM (SELECT DISTINCT * FROM page_views) WHERE title IS NOT NULL GROUP BY title)"
+
+
+@query(f"WITH {_VIEWS} SELECT * FROM views")
+def pageview_sum(spark: SparkSession, folder: str) -> DataFrame:
+    """Views of every title; repeated deliveries count once."""
+    return pages.view_totals(table(spark, folder, "page_views"))
+
+
+@query(f"WITH {_PAGES}, {_VIEWS} SELECT page_id, title FROM pages SEMI JOIN (SELECT title FROM views WHERE views >= 100) v USING (title) WHERE length(regexp_replace(text, '\\s', '', 'g')) >= 300")
+def quality_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that are read and long enough (thresholds of the test tables' size)."""
+    return pages.popular(_pages(spark, folder), pages.view_totals(table(spark, folder, "page_views")), 100, 300).select("page_id", "title")
+
+
+@query(rf"""
+    WITH {_PAGES} SELECT page_id, regexp_replace(text, '(?s:<!--.*?-->|<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|<references\b[^<>]*/?>)', '', 'g') AS text,
+    regexp_replace(text, '<!--.*?-->|(?s:<ref.*?>.*?</ref>)|(?s:<ref.*?/>)', '', 'g') AS plain_text FROM pages
+""")
+def strip_refs_comments(spark: SparkSession, folder: str) -> DataFrame:
+    """Wikitext without comments and references, by both rules."""
+    held = _pages(spark, folder)
+    return held.select("page_id", T.without_refs_and_comments("text").alias("text"), T.without_refs_and_comments("text", single_line_comments=True).alias("plain_text"))
+
+
+@query()
+def template_strip(spark: SparkSession, folder: str) -> DataFrame:
+    """Wikitext without dropped templates and links."""
+    return _pages(spark, folder).select("page_id", wikitext.without_templates_column("text").alias("text"))
+
+
+@query()
+def wikitext_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean wikitext of every article."""
+    return pages.cleaned(pages.articles(_pages(spark, folder)))
+
+
+_SECTION_TESTS = " OR ".join(
+    f"t {'=' if kind == EQUALS else 'LIKE'} '{'%' if kind == CONTAINS else ''}{word}{'%' if kind == CONTAINS else ''}'" for word, kind in SECTIONS_DROPPED
+)
+
+
+@query(rf"""
+    WITH {_PAGES}, heads AS (SELECT page_id, unnest(regexp_extract_all(text, '=(=+)([^=]*?)=+=', 2)) AS title FROM pages),
+    plain AS (SELECT page_id, title, translate(regexp_replace(title, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'), '{TRADITIONAL}', '{SIMPLIFIED}') AS t FROM heads)
+    SELECT page_id, title, t AS simplified_title, ({_SECTION_TESTS}) AS dropped FROM plain
+""")
+def section_title_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Section titles of every page, and whether the rules drop the section."""
+    heads = _pages(spark, folder).select("page_id", F.explode(F.regexp_extract_all("text", F.lit("=(=+)([^=]*?)=+="), F.lit(2))).alias("title"))
+    named = heads.withColumn("simplified_title", T.simplified(T.stripped("title")))
+    return named.withColumn("dropped", matches(F.col("simplified_title"), SECTIONS_DROPPED))
+
+
+@query(f"SELECT doc_id, translate(text, '{TRADITIONAL}', '{SIMPLIFIED}') AS text FROM documents")
+def simplified_text(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", T.simplified("text").alias("text"))
+
+
+# HTML and Markdown.
+
+
+@query()
+def html_to_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """Markdown of every document read as HTML."""
+    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", html.markdown_column("text").alias("text"))
+
+
+@query()
+def rendered_html(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles rendered by the local subset renderer."""
+    return pages.cleaned(pages.articles(_pages(spark, folder))).select("title", render.html_column("text").alias("html"))
+
+
+@query(rf"""
+    WITH {_FILES}, ended AS (SELECT file_name, regexp_replace(text, '\n+$', '') || chr(10) AS text FROM files),
+    led AS (SELECT file_name, regexp_replace(text, '^(?:[^\S\n]*\n)+', '') AS text FROM ended),
+    runs AS (SELECT file_name, regexp_replace(text, '\n(?:[^\S\n]*\n){{2,}}', chr(10) || chr(10), 'g') AS text FROM led)
+    SELECT file_name, regexp_replace(text, '\n[^\S\n]+\n', chr(10) || chr(10), 'g') AS text FROM runs
+""")
+def markdown_squeeze(spark: SparkSession, folder: str) -> DataFrame:
+    """Files without superfluous blank lines."""
+    files = rows(spark, folder, "corpus_files", "file_name", "text").where("text is not null")
+    return files.select("file_name", T.squeezed("text").alias("text"))
+
+
+@query(rf"""
+    WITH {_FILES}, cut AS (SELECT file_name, string_split(regexp_replace(text, '(?m)(^##+ [^\n]*(?:\n|\z))', chr(1) || '\1', 'g'), chr(1)) AS parts FROM files)
+    SELECT file_name, array_to_string(list_filter(parts, lambda p: length(regexp_replace(p, '(?m)^##+ [^\n]*(?:\n|\z)|\s', '', 'g')) > 0), '') AS text FROM cut
+""")
+def empty_chapters_dropped(spark: SparkSession, folder: str) -> DataFrame:
+    """Files without headings that no text follows."""
+    files = rows(spark, folder, "corpus_files", "file_name", "text").where("text is not null")
+    return files.select("file_name", T.without_empty_chapters("text").alias("text"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS text FROM documents")
+def xml_escape(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", T.xml_escaped("text").alias("text"))
+
+
+@query("""
+    WITH titles AS (SELECT DISTINCT title FROM documents WHERE title IS NOT NULL)
+    SELECT title, 'action=parse&text=' || replace(replace(replace(url_encode(title), '%20', '+'), '~', '%7E'), '%2A', '*') AS form FROM titles
+""")
+def request_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """URL-encoded request bodies."""
+    titles = rows(spark, folder, "documents", "title").where("title is not null")
+    return titles.select("title", T.form_encoded({"action": F.lit("parse"), "text": F.col("title")}).alias("form"))
+
+
+@query("SELECT doc_id, replace(text, chr(10), ' ') AS html FROM documents")
+def parse_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """HTML out of parse responses (made of the documents)."""
+    body = F.to_json(F.struct(F.struct(F.struct(F.col("text").alias("*")).alias("text")).alias("parse")))
+    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", messages.parsed_page(body)["html"].alias("html"))
+
+
+# Messages and events.
+
+
+@query("SELECT event_id, 2 * coalesce(json_extract(props, '$.k')::BIGINT, 0) AS views FROM events")
+def response_views(spark: SparkSession, folder: str) -> DataFrame:
+    """Sum of views of responses (made of the events' properties)."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    item = F.struct(k.alias("views"))
+    body = F.to_json(F.struct(F.array(item, item).alias("items")))
+    return table(spark, folder, "events", "event_id", "props").select("event_id", messages.response_views(body).alias("views"))
+
+
+@query("""
+    WITH ends AS (
+        SELECT event_type AS topic, user_id % 4 AS p, min(event_id) AS earliest, max(event_id) + 1 AS latest,
+               max(CASE WHEN event_id % 3 = 0 THEN event_id END) AS committed FROM events GROUP BY ALL
+    ) SELECT topic, sum(latest - earliest)::BIGINT AS size, sum(latest - coalesce(committed, earliest))::BIGINT AS lag FROM ends GROUP BY topic
+""")
+def topic_lag(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and lag of topics (event types, with the event ids as positions)."""
+    held = table(spark, folder, "events", "event_id", "event_type", "user_id")
+    committed = F.max(F.when(F.col("event_id") % 3 == 0, F.col("event_id")))
+    ends = held.groupBy(F.col("event_type").alias("topic"), (F.col("user_id") % 4).alias("p")).agg(F.min("event_id").alias("earliest"), (F.max("event_id") + 1).alias("latest"), committed.alias("committed"))
+    return messages.topic_sizes(ends)
+
+
+@query(r"""
+    WITH turns AS (
+        SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 1 THEN 'system' WHEN 2 THEN 'user' WHEN 3 THEN 'assistant' ELSE 'tool' END AS role,
+               l_returnflag || l_linestatus AS text FROM lineitem
+    )
+    SELECT l_orderkey, coalesce(string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY l_linenumber, role, text) FILTER (role <> 'tool'), '') || '<|endoftext|>' AS text
+    FROM turns GROUP BY l_orderkey
+""")
+def chat_render(spark: SparkSession, folder: str) -> DataFrame:
+    """Chats in their text format (orders as conversations, lines as turns)."""
+    held = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    role = F.element_at(F.array(F.lit("tool"), F.lit("system"), F.lit("user"), F.lit("assistant")), F.col("l_linenumber") % 4 + 1)
+    turns = held.select("l_orderkey", F.col("l_linenumber").alias("turn"), role.alias("role"), F.concat("l_returnflag", "l_linestatus").alias("text"))
+    return messages.chats(turns, "l_orderkey")
+
+
+# Tokens and whole pipelines.
+
+
+def _tokenizer() -> tokenize.TokenizerConfig:
+    return tokenize.TokenizerConfig(tokenize.public_model())
+
+
+@query()
+def tokenize_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every chapter block of the tokenizer's input."""
+    return tokenize.tokenized_blocks(rows(spark, folder, "tokenizer_files", "file_name", "text"), _tokenizer())
+
+
+@query()
+def token_json(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines that the token sink writes."""
+    line = F.to_json(F.struct(F.col("block_id").alias("blockId"), "tokens"))
+    return tokenize_blocks(spark, folder).select(line.alias("line"))
+
+
+@query()
+def wiki_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages to Markdown files, as one batch plan."""
+    return pipeline.corpus(_pages(spark, folder).select("title", "text"))
+
+
+@query()
+def streamed_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages to Markdown files, as a chain of streaming stages."""
+    return stages.streamed_corpus(spark, rows(spark, folder, "wiki_pages", "page_id", "title", "text"))
+
+
+@query()
+def training_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of the corpus without near-duplicate chapters."""
+    return pipeline.training_tokens(table(spark, folder, "corpus_files", "file_name", "text"), _tokenizer())
