@@ -74,21 +74,56 @@ def candidates(banded: DataFrame) -> DataFrame:
     return met.select(F.col("x.block_id").alias("block_id1"), F.col("y.block_id").alias("block_id2")).distinct()
 
 
-def jaccard_distance(a: str, b: str):
-    """1 - |A and B| / |A or B| of two arrays as sets; null where both are empty."""
-    shared = F.size(F.array_intersect(a, b))
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, 1 - shared / union)
+#: Words of 64 bits of a sketch.
+WORDS = 16
 
 
-def size_ratio_distance(a: str, b: str):
-    """1 - |A| / |B| of two arrays as sets, for comparison with results made elsewhere; neither symmetric nor a metric."""
-    return 1 - F.size(F.array_distinct(a)) / F.size(F.array_distinct(b))
+def sketches(shingled: DataFrame) -> DataFrame:
+    """(block_id, n, w0, w1, ...): number of distinct shingles, and a bitmap with a bit set for each.
+
+    Two bitmaps differ in at most as many bits as the sets differ in shingles. One row a block leaves the exploding stage.
+    """
+    place = F.pmod(F.xxhash64("g"), F.lit(64 * WORDS)).cast("int")
+    bits = shingled.select("block_id", F.explode(F.array_distinct("ngrams")).alias("g")).select("block_id", place.alias("p"))
+    words = [F.bit_or(F.when(F.col("p") >= 64 * i, F.when(F.col("p") < 64 * (i + 1), F.expr(f"shiftleft(1L, p - {64 * i})"))).otherwise(F.lit(0).cast("bigint"))) for i in range(WORDS)]
+    return bits.groupBy("block_id").agg(F.count("*").alias("n"), *[F.coalesce(w, F.lit(0).cast("bigint")).alias(f"w{i}") for i, w in enumerate(words)])
+
+
+def with_sketches(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Pairs with the sketches of both blocks (columns n1, w1_0, ... and n2, w2_0, ...)."""
+    for i in (1, 2):
+        columns = [F.col(f"w{j}").alias(f"w{i}_{j}") for j in range(WORDS)]
+        pairs = pairs.join(sketched.select(F.col("block_id").alias(f"block_id{i}"), F.col("n").alias(f"n{i}"), *columns), f"block_id{i}")
+    return pairs
+
+
+def may_be_near(max_distance: float):
+    """False only for pairs whose sizes or sketches prove a Jaccard distance above ``max_distance``."""
+    differing = sum((F.bit_count(F.col(f"w1_{j}").bitwiseXOR(F.col(f"w2_{j}"))) for j in range(WORDS)), F.lit(0))
+    sizes = F.least("n1", "n2") >= F.greatest("n1", "n2") * (1 - max_distance) - 1e-6
+    return sizes & (differing <= (F.col("n1") + F.col("n2")) * (max_distance / (2 - max_distance)) + 1e-6)
 
 
-def verified(pairs: DataFrame, shingled: DataFrame, config: LshConfig = LshConfig(), distance=jaccard_distance) -> DataFrame:
-    """Pairs whose distance is at most ``max_distance``, with the distance: two joins that fetch the sets, no third."""
-    sets = shingled.select("block_id", F.array_distinct("ngrams").alias("ngrams"))
-    one, two = (sets.select(F.col("block_id").alias(f"block_id{i}"), F.col("ngrams").alias(f"ngrams{i}")) for i in (1, 2))
-    both = pairs.join(one, "block_id1").join(two, "block_id2")
-    return both.select("block_id1", "block_id2", distance("ngrams1", "ngrams2").alias("distance")).where(F.col("distance") <= config.max_distance)
+def verified(pairs: DataFrame, shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
+    """Pairs (block_id1, block_id2, distance) whose Jaccard distance 1 - |A and B| / |A or B| is at most ``max_distance``.
+
+    Sketches settle most candidates with a few generated instructions; only for those that are left the sets are fetched,
+    as 64-bit hashes.
+    """
+    left = with_sketches(pairs, sketches(shingled)).where(may_be_near(config.max_distance)).select("block_id1", "block_id2", "n1", "n2")
+    sets = shingled.select("block_id", F.array_distinct(F.transform("ngrams", lambda g: F.xxhash64(g))).alias("s"))
+    one, two = (sets.select(F.col("block_id").alias(f"block_id{i}"), F.col("s").alias(f"s{i}")) for i in (1, 2))
+    shared = left.join(one, "block_id1").join(two, "block_id2").withColumn("k", F.size(F.array_intersect("s1", "s2")))
+    distance = 1 - F.col("k") / (F.col("n1") + F.col("n2") - F.col("k"))
+    return shared.select("block_id1", "block_id2", distance.alias("distance")).where(F.col("distance") <= config.max_distance)
+
+
+def by_size_ratio(pairs: DataFrame, shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
+    """Pairs whose distance 1 - |A| / |B| is at most ``max_distance``: for comparison with results made elsewhere.
+
+    That distance is neither symmetric nor a metric.
+    """
+    sizes = shingled.select("block_id", F.size(F.array_distinct("ngrams")).alias("n"))
+    one, two = (sizes.select(F.col("block_id").alias(f"block_id{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    ratio = pairs.join(one, "block_id1").join(two, "block_id2").select("block_id1", "block_id2", (1 - F.col("n1") / F.col("n2")).alias("distance"))
+    return ratio.where(F.col("distance") <= config.max_distance)

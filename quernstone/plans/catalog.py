@@ -205,7 +205,7 @@ def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def size_ratio_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Candidates by the size ratio, for comparison with results made elsewhere."""
-    pairs = minhash.verified(minhash.candidates(_banded(spark, folder)), _shingled(spark, folder), LSH, minhash.size_ratio_distance)
+    pairs = minhash.by_size_ratio(minhash.candidates(_banded(spark, folder)), _shingled(spark, folder), LSH)
     return pairs.withColumn("distance", F.round("distance", 9))
 
 
