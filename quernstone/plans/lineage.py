@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -27,6 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def own_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends in good order."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(_deleted, held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), held)
+    return path
+
+
+def _deleted(fs, path) -> None:
+    try:
+        fs.delete(path, True)
+    except Exception:  # noqa: BLE001 - the application's JVM may be gone already
+        pass
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as row files; survives the loss of executors."""
     shared_dir(df.sparkSession)
@@ -35,6 +51,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def staged(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as a Parquet table in the shared folder (columns can be pruned when it is read)."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

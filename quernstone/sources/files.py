@@ -12,7 +12,7 @@ PAGE_SCHEMA = "title string, revision struct<text: struct<_VALUE: string, _lang:
 
 
 def whole_files(spark: SparkSession, path: str, name: str = "file_name", text: str = "text") -> DataFrame:
-    """One row a file: its name (not percent-encoded) and its UTF-8 text."""
+    """One row a file: its name (not percent-encoded) and its UTF-8 text. Files of no bytes have no row: scans skip them."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias(name), decoded("content").alias(text))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quernstone.functions import html, render
 from quernstone.functions import text as T
 from quernstone.operators import pages as P
-from quernstone.plans.lineage import shared_dir
+from quernstone.plans.lineage import own_folder
 from quernstone.sources.streams import FolderTopic, KafkaTopic, as_messages, as_pages
 
 Topic = FolderTopic | KafkaTopic
@@ -68,7 +67,7 @@ def wiki_chain(root: str, first: Topic, most: int = 100) -> tuple[list[Stage], F
 
 def streamed_corpus(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """The chain over a table of pages: (file_name, text) of its last topic."""
-    root = f"{shared_dir(spark).rstrip('/')}/chain-{uuid.uuid4().hex}"
+    root = own_folder(spark, "chain")
     first = FolderTopic(f"{root}/pages")
     first.write(as_messages(pages))
     stages, last = wiki_chain(root, first)
