@@ -144,14 +144,16 @@ def _ending(text: str) -> Ending:
         return Ending(WHOLE, "reference", unit)
     if open_pair(line):
         return Ending(CUT, "bracket", unit)
-    prose = bool(re.search(r"[，。；！？]", line)) or bool(re.search(r"[.!?,;] +\S", line)) or len(re.findall(r"[a-zäöüß]+(?= )", line)) >= 5
+    item = ITEM.match(line)
+    said = line[item.end() :] if item else line
+    prose = bool(re.search(r"[，。；！？]|[.!?,;] +\S", said)) or len(re.findall(r"[a-zäöüß]+(?= )", said)) >= 5
     if ended.endswith(tuple(PAUSE)) and prose:
         return Ending(CUT, "pause", unit)
-    if ITEM.match(line) and not prose:
+    if item and not prose:
         return Ending(OPEN, "item", unit)
     if omitted:
         return Ending(CUT if invited else OPEN, "ellipsis" if WRITTEN.search(text.rstrip()) else "omission", unit)
     before = next((x for x in reversed(lines[:-1]) if x.strip()), "")
-    if prose or HEADING.match(before) or (re.search(r"[，。；！？]|[a-z], ", before) and not ITEM.match(line)) or before.rstrip().endswith(tuple(STOP)):
+    if prose or HEADING.match(before) or (re.search(r"[，。；！？]|[a-z], ", before) and not item) or before.rstrip().endswith(tuple(STOP)):
         return Ending(CUT, "sentence", unit)
     return Ending(OPEN, "line", unit)

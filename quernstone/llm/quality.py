@@ -114,7 +114,8 @@ def scored(stats: DataFrame, id: str) -> DataFrame:
     grp = F.when(F.col("lang") == "und", F.lit("*")).otherwise(F.col("lang"))
     ranked = long.select(id, "digest", grp.alias("grp"), "stat", "value").join(by_value, ["grp", "stat", "value"])
     wide = ranked.groupBy(id, "digest").agg(F.sum(-F.log("tail")).alias("score"), *[F.min(F.when(F.col("stat") == s, F.col("tail"))).alias(f"tail_{s}") for s in SIDES])
-    return stats.join(wide, [id, "digest"], "left")
+    wide = wide.withColumnsRenamed({id: "_id", "digest": "_digest"})
+    return stats.join(wide, F.col(id).eqNullSafe(F.col("_id")) & F.col("digest").eqNullSafe(F.col("_digest")), "left").drop("_id", "_digest")
 
 
 def no_prose(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
