@@ -89,12 +89,9 @@ def sketches(shingled: DataFrame) -> DataFrame:
     return bits.groupBy("block_id").agg(F.count("*").alias("n"), *[F.coalesce(w, F.lit(0).cast("bigint")).alias(f"w{i}") for i, w in enumerate(words)])
 
 
-def with_sketches(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Pairs with the sketches of both blocks (columns n1, w1_0, ... and n2, w2_0, ...)."""
-    for i in (1, 2):
-        columns = [F.col(f"w{j}").alias(f"w{i}_{j}") for j in range(WORDS)]
-        pairs = pairs.join(sketched.select(F.col("block_id").alias(f"block_id{i}"), F.col("n").alias(f"n{i}"), *columns), f"block_id{i}")
-    return pairs
+def _side(i: int) -> list:
+    """Columns of a sketch table as one side of a pair: n1, w1_0, ... or n2, w2_0, ..."""
+    return [F.col("n").alias(f"n{i}"), *[F.col(f"w{j}").alias(f"w{i}_{j}") for j in range(WORDS)]]
 
 
 def may_be_near(max_distance: float):
@@ -104,20 +101,37 @@ def may_be_near(max_distance: float):
     return sizes & (differing <= (F.col("n1") + F.col("n2")) * (max_distance / (2 - max_distance)) + 1e-6)
 
 
-def verified(pairs: DataFrame, shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
+def near_candidates(banded: DataFrame, sketched: DataFrame, max_distance: float) -> DataFrame:
+    """The candidates whose sketches don't rule them out, with their sizes.
+
+    The sketches travel with the bands (128 bytes for each), so the other pairs of a bucket end inside the join and are
+    never shuffled.
+    """
+    rows = banded.join(sketched, "block_id")
+    one = rows.select("band", "key", F.col("block_id").alias("block_id1"), *_side(1))
+    two = rows.select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.col("block_id").alias("block_id2"), *_side(2))
+    met = one.join(two, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")) & (F.col("block_id1") < F.col("block_id2")) & may_be_near(max_distance))
+    return met.select("block_id1", "block_id2", "n1", "n2").distinct()
+
+
+def verified(left: DataFrame, shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
     """Pairs (block_id1, block_id2, distance) whose Jaccard distance 1 - |A and B| / |A or B| is at most ``max_distance``.
 
-    Sketches settle most candidates with a few generated instructions; only for those that are left the sets are fetched,
-    as 64-bit hashes.
+    ``left`` has the pairs (block_id1, block_id2). The sets are fetched as 64-bit hashes.
     """
-    left = with_sketches(pairs, sketches(shingled)).where(may_be_near(config.max_distance)).select("block_id1", "block_id2", "n1", "n2")
     sets = shingled.select("block_id", F.array_distinct(F.transform("ngrams", lambda g: F.xxhash64(g))).alias("s"))
     one, two = (sets.select(F.col("block_id").alias(f"block_id{i}"), F.col("s").alias(f"s{i}")) for i in (1, 2))
-    shared = left.join(one, "block_id1").join(two, "block_id2").withColumn("k", F.size(F.array_intersect("s1", "s2")))
-    distance = 1 - F.col("k") / (F.col("n1") + F.col("n2") - F.col("k"))
+    shared = left.select("block_id1", "block_id2").join(one, "block_id1").join(two, "block_id2").withColumn("k", F.size(F.array_intersect("s1", "s2")))
+    distance = 1 - F.col("k") / (F.size("s1") + F.size("s2") - F.col("k"))
     return shared.select("block_id1", "block_id2", distance.alias("distance")).where(F.col("distance") <= config.max_distance)
 
 
+def near_pairs(shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
+    """Signatures, bands, candidates and verification in one plan."""
+    left = near_candidates(bands(signatures(shingled, config), config), sketches(shingled), config.max_distance)
+    return verified(left, shingled, config)
+
+
 def by_size_ratio(pairs: DataFrame, shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
     """Pairs whose distance 1 - |A| / |B| is at most ``max_distance``: for comparison with results made elsewhere.
 

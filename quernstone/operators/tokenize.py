@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -15,12 +16,29 @@ from pyspark.sql import functions as F
 from quernstone.operators.blocks import explode_blocks
 
 
+# The markers of the chat format and their ids, behind a vocabulary of 32,000.
+CHAT_MARKERS = (
+    ("<|endoftext|>", 32000), ("<|assistant|>", 32001), ("<|placeholder1|>", 32002), ("<|placeholder2|>", 32003), ("<|placeholder3|>", 32004), ("<|placeholder4|>", 32005),
+    ("<|system|>", 32006), ("<|end|>", 32007), ("<|placeholder5|>", 32008), ("<|placeholder6|>", 32009), ("<|user|>", 32010),
+)
+#: The marker behind which white space stays.
+END_OF_TEXT = "<|endoftext|>"
+#: The declared longest sequence; nothing is cut to it unless ``max_length`` is given.
+DECLARED_LENGTH = 4096
+
+
 @dataclass(frozen=True)
 class TokenizerConfig:
-    """A SentencePiece model (``.model``) or a tokenizer file (``.json``); no ids are added before or after a text."""
+    """A SentencePiece model (``.model``) or a tokenizer file (``.json``); no ids are added before or after a text.
+
+    ``markers`` become their ids wherever their strings stand, and take the white space behind them along (but for the end of a
+    text); without them every string is ordinary text.
+    """
 
     path: str
     batch: int = 256
+    markers: tuple[tuple[str, int], ...] = ()
+    max_length: int | None = None
 
 
 def public_model(name: str = "piece_bpe_32k.model") -> str:
@@ -45,6 +63,26 @@ def _encoder(path: str):
     return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def encoded(texts: list[str], config: TokenizerConfig) -> list[list[int]]:
+    """Ids of each text."""
+    encode = _encoder(config.path)
+    if not config.markers:
+        out = encode(texts)
+    else:
+        ids = dict(config.markers)
+        marker = re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + rf")(?:(?<!{re.escape(END_OF_TEXT)})\s+)?")
+        parts = [marker.split(t) for t in texts]
+        plain = iter(encode([p for own in parts for p in own[::2]]))
+        out = [[i for k, p in enumerate(own) for i in ([ids[p]] if k % 2 else next(plain))] for own in parts]
+    return out if config.max_length is None else [x[: config.max_length] for x in out]
+
+
+def left_padded(ids: Column | str, length: int, pad: int = CHAT_MARKERS[0][1]) -> Column:
+    """The ids with ``pad`` before them up to ``length``; longer lists stay as they are."""
+    ids = F.col(ids) if isinstance(ids, str) else ids
+    return F.concat(F.array_repeat(F.lit(pad), F.greatest(F.lit(0), length - F.size(ids))), ids)
+
+
 def token_column(text: Column | str, config: TokenizerConfig) -> Column:
     """Array of token ids; null and empty texts have an empty one."""
 
@@ -53,7 +91,7 @@ def token_column(text: Column | str, config: TokenizerConfig) -> Column:
             texts = [t or "" for t in batch.to_pylist()]
             out: list[list[int]] = []
             for start in range(0, len(texts), config.batch):
-                out += _encoder(config.path)(texts[start : start + config.batch])
+                out += encoded(texts[start : start + config.batch], config)
             yield pa.array(out, pa.list_(pa.int32()))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

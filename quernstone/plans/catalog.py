@@ -194,8 +194,7 @@ def lsh_candidates(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_VERIFIED} SELECT block_id1, block_id2, round(distance, 9) AS distance FROM verified")
 def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of distinct texts within the largest distance (``block_classes`` says which blocks a text stands for)."""
-    pairs = minhash.verified(minhash.candidates(_banded(spark, folder)), _shingled(spark, folder), LSH)
-    return pairs.withColumn("distance", F.round("distance", 9))
+    return minhash.near_pairs(_shingled(spark, folder), LSH).withColumn("distance", F.round("distance", 9))
 
 
 @query(f"""
@@ -484,6 +483,13 @@ def tokenize_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return tokenize.tokenized_blocks(rows(spark, folder, "tokenizer_files", "file_name", "text"), _tokenizer())
 
 
+@query()
+def chat_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of chats, their markers as ids of their own."""
+    config = tokenize.TokenizerConfig(tokenize.public_model(), markers=tokenize.CHAT_MARKERS)
+    return chat_render(spark, folder).select("l_orderkey", tokenize.token_column("text", config).alias("tokens"))
+
+
 @query()
 def token_json(spark: SparkSession, folder: str) -> DataFrame:
     """The lines that the token sink writes."""

@@ -119,6 +119,20 @@ def test_tokens(spark, model):
     assert json.loads(tokenize.json_line("b_0", rows[0].t)) == {"blockId": "b_0", "tokens": rows[0].t}
 
 
+def test_markers_and_padding(spark):
+    plain = tokenize.TokenizerConfig(tokenize.public_model())
+    chat = tokenize.TokenizerConfig(tokenize.public_model(), markers=tokenize.CHAT_MARKERS)
+    df = spark.createDataFrame([("<|user|>\nhello<|end|>\n<|endoftext|>",)], "t string")
+    hello = tokenize.encoded(["hello"], plain)[0]
+    ids = [32010, *hello, 32007, 32000]
+    column = tokenize.token_column("t", chat)
+    row = df.select(column.alias("ids"), tokenize.left_padded(column, 8).alias("padded"), tokenize.left_padded(column, 2).alias("long")).first()
+    assert row.ids == row.long == ids and row.padded == [32000] * (8 - len(ids)) + ids
+    assert tokenize.encoded(["<|end|>"], plain)[0] != [32007]
+    assert tokenize.encoded(["<|end|> \n", "<|endoftext|>\n"], chat) == [[32007], [32000, *tokenize.encoded(["\n"], plain)[0]]]
+    assert len(tokenize.encoded(["a b c d e f"], tokenize.TokenizerConfig(tokenize.public_model(), max_length=3))[0]) == 3
+
+
 def test_shapes_of_hot_plans(spark, small):
     """Columns are pruned at the scan, and signatures shuffle one row a block."""
     table = spark.read.parquet(f"{small}/blocks.parquet")
