@@ -25,8 +25,8 @@ from quernstone.plans.lineage import staged
 RANGE_KEY = 1024
 #: Rows sampled of each partition for the bounds, which the driver holds.
 RANGE_SAMPLE = 20
-#: Cuts of one source at one size that make the place a limit of that source.
-PILE = 3
+#: A size is a limit of a source if so many of its proven cuts, and this share of them, fall there.
+PILE, PILE_SHARE = 3, 0.2
 #: Clauses keep the stop that ends them.
 STOPS = "。！？!?."
 CLAUSES = f"(?<=[{STOPS}])|[，、,；;：:\n“”「」]"
@@ -108,8 +108,9 @@ def judged(df: DataFrame, text: str, source: str) -> DataFrame:
     verdicts = staged(verdicts.select("h1", "h2", "verdict", "size", sure.alias("sure"), F.when(F.col("longer"), "longer copy").otherwise(F.col("reason")).alias("reason")))
     # Sizes at which a source cuts.
     sizes = rows.select("source", *_digest(F.col("text"))).distinct().join(verdicts.select("h1", "h2", "size", "sure", "verdict"), ["h1", "h2"])
-    limits = sizes.where("sure").groupBy("source", "size").agg(F.count("*").alias("cuts")).where(F.col("cuts") >= PILE)
-    limits = limits.select(F.col("source").alias("_s"), F.col("size").alias("_n"))
+    cuts = sizes.where("sure").groupBy("source", "size").agg(F.count("*").alias("cuts"))
+    cuts = cuts.withColumn("all_cuts", F.sum("cuts").over(Window.partitionBy("source")))
+    limits = cuts.where((F.col("cuts") >= PILE) & (F.col("cuts") >= PILE_SHARE * F.col("all_cuts"))).select(F.col("source").alias("_s"), F.col("size").alias("_n"))
     piled = sizes.where((F.col("verdict") == OPEN) & ~F.col("sure")).join(limits, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n")), "left_semi")
     piled = piled.select("h1", "h2", F.lit(True).alias("piled")).distinct()
     final = verdicts.join(piled, ["h1", "h2"], "left")
