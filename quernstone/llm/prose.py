@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from typing import NamedTuple
 
 HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
-LATIN_WORD = re.compile(r"[^\W_⺀-鿿]+", re.U)
-WORD = re.compile(r"[㐀-䶿一-鿿豈-﫿]|[^\W_⺀-鿿]+", re.U)
+SPACED_WORD = re.compile(r"[^\W_⺀-鿿]+", re.U)
 HEADING = re.compile(r"\s*#{1,6}\s+\S.{0,60}$|\s*={2,6}[^=]+={2,6}\s*$")
 ITEM = re.compile(r"\s*(?:[-*+•・◆●○▪‣]\s*(?!\*)|[（(\[【]\d{1,4}[）)\]】]|\d{1,4}[.)、）]\s*(?=\D))")
 #: The end of a sentence: full stops and closing marks, no comma behind them, no figure behind a point.
@@ -47,20 +47,22 @@ class Vocabulary:
     def spaced_hits(self, words: list[str]) -> int:
         return sum(w in self.all_spaced for w in words)
 
-    def language(self, text: str) -> str:
-        """The language whose frequent words fill the largest part; ``und`` where hardly any does."""
-        hits = self.han_hits(text)
-        words = [w.lower() for w in LATIN_WORD.findall(text)]
+    def language(self, hits: list[str], han: int, words: list[str]) -> str:
+        """The language whose frequent words fill the largest part; ``und`` where hardly any does.
+
+        ``hits`` are those of ``han_hits``, ``han`` the number of Chinese characters, ``words`` the spaced words.
+        """
         best, most = "und", 0.0
-        han = sum(map(len, HAN.findall(text)))
+        found = Counter(hits)
         for lang, ws in self.joined.items():
-            # Words that only this language has tell it from its neighbours; shared ones count for all.
-            own = sum(len(h) for h in hits if h in ws) + 3 * sum(len(h) for h in hits if h in ws and not any(h in o for k, o in self.joined.items() if k != lang))
+            # A word that only this language has tells it from its neighbours; shared ones count for all.
+            own = sum(n * len(h) * (1 if any(h in o for k, o in self.joined.items() if k != lang) else 4) for h, n in found.items() if h in ws)
             if han and own / han >= 0.02 and own > most:
                 best, most = lang, float(own)
+        letters = sum(map(len, words))
         for lang, ws in self.spaced.items():
             own = sum(len(w) for w in words if w in ws)
-            if words and own / sum(map(len, words)) >= 0.05 and 1.5 * own > most:
+            if words and own / letters >= 0.05 and 1.5 * own > most:
                 best, most = lang, 1.5 * own
         return best
 
@@ -68,7 +70,7 @@ class Vocabulary:
 def tells(piece: str, vocabulary: Vocabulary, stopped: bool) -> bool:
     """Whether a piece of a line reads as (part of) a sentence."""
     han = len(HAN.findall(piece))
-    words = [w.lower() for w in LATIN_WORD.findall(piece)]
+    words = SPACED_WORD.findall(piece.lower())
     letters = sum(map(len, words))
     if han * 2 >= letters:
         hits = vocabulary.han_hits(piece)
@@ -116,20 +118,21 @@ def prose_characters(text: str, vocabulary: Vocabulary) -> tuple[int, int]:
 
 
 def statistics(text: str, vocabulary: Vocabulary) -> Statistics:
-    words = WORD.findall(text)
-    shown = visible(text)
+    """Words are Chinese characters, and runs of other letters and digits."""
+    han = len(HAN.findall(text))
+    words = SPACED_WORD.findall(text.lower())
+    hits = vocabulary.han_hits(text)
+    n, shown = han + len(words), visible(text)
     lines = [x.rstrip() for x in text.split("\n") if x.strip() and not HEADING.match(x)]
     stops = sum(x.rstrip("”」』\"'’）)]*_ ")[-1:] in STOP and bool(x) for x in lines)
-    symbols = len(SYMBOL.findall(text))
-    hits = sum(map(len, vocabulary.han_hits(text))) + vocabulary.spaced_hits([w.lower() for w in words])
     told, total = prose_characters(text, vocabulary)
     return Statistics(
-        vocabulary.language(text),
+        vocabulary.language(hits, han, words),
         shown,
-        len(words),
-        sum(map(len, words)) / len(words) if words else 0.0,
-        symbols / shown if shown else 0.0,
+        n,
+        (han + sum(map(len, words))) / n if n else 0.0,
+        len(SYMBOL.findall(text)) / shown if shown else 0.0,
         stops / len(lines) if lines else 0.0,
-        hits / len(words) if words else 0.0,
+        (sum(map(len, hits)) + vocabulary.spaced_hits(words)) / n if n else 0.0,
         told / total if total else (1.0 if shown else 0.0),
     )
