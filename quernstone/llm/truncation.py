@@ -1,8 +1,8 @@
 """Texts that were cut off, and how often each source cuts.
 
-Evidence from other texts is gathered by a self-join by prefix. Distinct texts are sorted over range partitions; in that
-order a strict prefix stands right before a longer copy, so one look at the next text finds it. What cannot be seen there
-(the last text of a partition) is settled on the partitions' edges, two rows each. The same question is asked of the last
+Evidence from other texts is gathered by a self-join by prefix. Distinct texts, without the marks that may follow a cut, are
+sorted over range partitions; in that order a strict prefix stands right before a longer copy, so one look at the next text
+finds it. What cannot be seen there (the last text of a partition) is settled on the partitions' edges, two texts each. The same question is asked of the last
 clause: is it a whole clause elsewhere, or only the beginning of one? And of the size: do other cuts of its source fall on
 the same place? A text whose own end proves the cut needs no such evidence (see ``endings``).
 
@@ -30,6 +30,7 @@ PILE, PILE_SHARE = 3, 0.2
 #: Clauses keep the stop that ends them.
 STOPS = "。！？!?."
 CLAUSES = f"(?<=[{STOPS}])|[，、,；;：:\n“”「」]"
+ENDED = "h1 bigint, h2 bigint, verdict int, reason string, unit string, size int, core string"
 JUDGED = "h1 bigint, h2 bigint, verdict int, reason string, unit string, size int, longer boolean, edge string"
 
 
@@ -43,31 +44,41 @@ def continued(text: str, longer: str | None) -> bool:
     return "\n" in text or (last.isalnum() and following.isalnum() and last < "⺀" and following < "⺀")
 
 
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How each text ends, and what is left of it without the marks that may follow a cut."""
+    kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
+    for batch in batches:
+        if batch.num_rows:
+            texts = batch.column(2).to_pylist()
+            found = [(e.verdict, e.reason, e.unit if e.verdict == OPEN else None, e.size, t[: e.size]) for t, e in zip(texts, map(ending, texts))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(zip(*found), kinds))], names=["h1", "h2", "verdict", "reason", "unit", "size", "core"])
+
+
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text of a sorted partition against the next one; the first and the last row carry their text as ``edge``."""
-    held: tuple | None = None
+    """Each core of a sorted partition against the next different one; rows of the first and the last carry theirs as ``edge``."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string()]
+    names = ["h1", "h2", "verdict", "reason", "unit", "size", "longer", "edge"]
+    held: list[tuple] = []  # rows of one core; they differ in trailing marks alone
     first = True
 
-    def row(h1, h2, text, following, edge):
-        e = ending(text)
-        return h1, h2, e.verdict, e.reason, e.unit if e.verdict == OPEN else None, e.size, continued(text, following), text if edge else None
+    def settled(following: str | None, edge: bool) -> list[tuple]:
+        longer = continued(held[0][-1], following)
+        return [(*row[:-1], longer, row[-1] if edge else None) for row in held]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string()]
-        names = ["h1", "h2", "verdict", "reason", "unit", "size", "longer", "edge"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     for batch in batches:
-        rows = []
-        for h1, h2, text in zip(*(c.to_pylist() for c in batch.columns)):
-            if held is not None:
-                rows.append(row(*held, text, first))
-                first = False
-            held = (h1, h2, text)
+        rows: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[-1] != held[0][-1]:
+                rows += settled(row[-1], first)
+                held, first = [], False
+            held.append(row)
         if rows:
             yield batch_of(rows)
-    if held is not None:
-        yield batch_of([row(*held, None, True)])
+    if held:
+        yield batch_of(settled(None, True))
 
 
 def _digest(text: Column | str) -> tuple[Column, Column]:
@@ -80,7 +91,8 @@ def _sorted_and_judged(texts: DataFrame) -> DataFrame:
     before = spark.conf.get(name)
     spark.conf.set(name, str(RANGE_SAMPLE))
     try:
-        ordered = texts.repartitionByRange(F.substring("text", 1, RANGE_KEY)).sortWithinPartitions("text")
+        ended = texts.mapInArrow(_ended, ENDED)
+        ordered = ended.repartitionByRange(F.substring("core", 1, RANGE_KEY)).sortWithinPartitions("core")
         return staged(ordered.mapInArrow(_judged, JUDGED))
     finally:
         spark.conf.set(name, before)
@@ -91,11 +103,12 @@ def judged(df: DataFrame, text: str, source: str) -> DataFrame:
     rows = df.select(F.col(text).alias("text"), F.col(source).alias("source")).where(F.length("text") > 0)
     texts = rows.select("text", *_digest(F.col("text"))).groupBy("h1", "h2").agg(F.first("text").alias("text"))
     verdicts = _sorted_and_judged(texts)
-    # The edges of neighbouring partitions, in order; at most two rows a partition.
+    # The edges of neighbouring partitions, in order; two different ones a partition at most.
     edges = verdicts.where("edge is not null").select("h1", "h2", "edge")
-    follows = edges.withColumn("following", F.lead("edge").over(Window.orderBy("edge")))
+    follows = edges.select("edge").distinct().withColumn("following", F.lead("edge").over(Window.orderBy("edge")))
     follows = follows.where(F.expr("startswith(following, edge)")).withColumn("on", F.udf(continued, "boolean")("edge", "following")).where("on")
-    verdicts = verdicts.drop("edge").join(follows.select("h1", "h2", F.lit(True).alias("crossed")), ["h1", "h2"], "left")
+    crossed = edges.join(follows, "edge").select("h1", "h2", F.lit(True).alias("crossed"))
+    verdicts = verdicts.drop("edge").join(crossed, ["h1", "h2"], "left")
     verdicts = verdicts.withColumn("longer", F.col("longer") | F.coalesce("crossed", F.lit(False))).drop("crossed")
     # Last clauses before an omission mark: those that are whole clauses somewhere end a full statement. A clause that is
     # seen nowhere else is taken for cut, but for one before the full ellipsis, which needs a size limit as evidence.

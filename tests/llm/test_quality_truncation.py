@@ -130,6 +130,13 @@ def test_longer_copies_prove_a_cut(spark):
     assert cut_ids(spark, rows) == {0, 6}
 
 
+def test_longer_copies_of_texts_with_marks(spark):
+    """What follows a cut doesn't hide the longer copy; texts that differ in it alone are judged alike."""
+    core = "山（3米）\n河桥\nBen Ta"
+    rows = [(core + x, "a") for x in ("……", "  ", "...", "")] + [("山（3米）\n河桥\nBen Tal 1820", "b"), ("春山……", "b"), ("春山 古道", "b")]
+    assert cut_ids(spark, rows) == {0, 1, 2, 3}
+
+
 def test_longer_copies_across_partitions(spark):
     """Every row may stand at the edge of its partition."""
     rng = random.Random(1)
