@@ -88,9 +88,9 @@ def without_refs_and_comments(text: Column | str, single_line_comments: bool = F
     return F.regexp_replace(text, r"(?s)<!--.*?-->|<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref>|<references\b[^<>]*/?>", "")
 
 
-def simplified(text: Column | str) -> Column:
-    """Traditional characters replaced by simplified ones, one for one (the table of ``rules``)."""
-    return F.translate(_col(text), TRADITIONAL, SIMPLIFIED)
+def simplified(text: Column | str, table: tuple[str, str] = (TRADITIONAL, SIMPLIFIED)) -> Column:
+    """Traditional characters replaced by simplified ones, one for one; ``table`` may be a fuller one than that of ``rules``."""
+    return F.translate(_col(text), *table)
 
 
 def stripped(text: Column | str) -> Column:
