@@ -31,6 +31,8 @@ PILE, PILE_SHARE = 3, 0.2
 STOPS = "。！？!?."
 CLAUSES = f"(?<=[{STOPS}])|[，、,；;：:\n“”「」]"
 ENDED = "h1 bigint, h2 bigint, verdict int, reason string, unit string, size int, core string"
+#: Letters and figures of scripts that are written in words.
+LATIN = r"[\p{L}\p{N}&&[\x{0}-\x{2E7F}]]"
 JUDGED = "h1 bigint, h2 bigint, verdict int, reason string, unit string, size int, longer boolean, edge string"
 
 
@@ -44,6 +46,13 @@ def continued(text: str, longer: str | None) -> bool:
     return "\n" in text or (last.isalnum() and following.isalnum() and last < "⺀" and following < "⺀")
 
 
+def continues(text: Column, longer: Column) -> Column:
+    """The same as ``continued`` in the JVM, for a ``longer`` that starts with ``text`` and is longer."""
+    last, following = F.substring(text, -1, 1), F.substring(longer, F.length(text) + 1, F.lit(1))
+    mid_word = last.rlike(LATIN) & following.rlike(LATIN)
+    return ~last.isin("\r", "\n") & ~following.isin("\r", "\n", "") & (text.contains("\n") | mid_word)
+
+
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How each text ends, and what is left of it without the marks that may follow a cut."""
     kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
@@ -106,7 +115,7 @@ def judged(df: DataFrame, text: str, source: str) -> DataFrame:
     # The edges of neighbouring partitions, in order; two different ones a partition at most.
     edges = verdicts.where("edge is not null").select("h1", "h2", "edge")
     follows = edges.select("edge").distinct().withColumn("following", F.lead("edge").over(Window.orderBy("edge")))
-    follows = follows.where(F.expr("startswith(following, edge)")).withColumn("on", F.udf(continued, "boolean")("edge", "following")).where("on")
+    follows = follows.where(F.expr("startswith(following, edge)") & continues(F.col("edge"), F.col("following")))
     crossed = edges.join(follows, "edge").select("h1", "h2", F.lit(True).alias("crossed"))
     verdicts = verdicts.drop("edge").join(crossed, ["h1", "h2"], "left")
     verdicts = verdicts.withColumn("longer", F.col("longer") | F.coalesce("crossed", F.lit(False))).drop("crossed")
