@@ -41,6 +41,8 @@ class Settings:
     segment_bits: int = 16
     references: int = 8
     seed: int = 1
+    #: Classes of up to so many equal sets are listed pair by pair; larger ones are linked by their smallest id.
+    full_copies: int = 1000
     #: Ids that may be broadcast to prefilter the sets (8 bytes each); beyond, the same filter is a shuffled join.
     broadcast_ids: int = 500_000
 
@@ -172,20 +174,30 @@ def class_pairs(all: DataFrame, settings: Settings) -> DataFrame:
 
 
 def pairs(df: DataFrame, id: str, items: str, settings: Settings = Settings()) -> DataFrame:
-    """All pairs (id1 < id2, similarity) of different records that are similar enough, copies included.
+    """Pairs (id1 < id2, similarity) of different records that are similar enough, copies included.
 
-    The copies of a class are expanded only here; ``membership`` gives the same without expansion.
+    Every pair is listed, but for classes of more than ``full_copies`` records with equal sets: those are linked by the
+    smallest id of the class (with each of its copies; with the records of another such class), so a class of n copies makes
+    n rows and not n * n. ``membership`` gives the same links without any expansion.
     """
     all = described(df, id, items, settings)
     members = all.select("id", "key").distinct()
-    between = class_pairs(all, settings)
-    one, two = (members.select(F.col("id").alias(i), F.col("key").alias(k)) for i, k in (("i1", "key1"), ("i2", "key2")))
-    across = between.join(one, "key1").join(two, "key2").where("i1 <> i2")
-    across = across.select(F.least("i1", "i2").alias("id1"), F.greatest("i1", "i2").alias("id2"), "similarity")
-    copied = members.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1").select("key")
-    copies = members.join(copied, "key", "left_semi")
-    same = copies.alias("x").join(copies.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
-    same = same.select(F.col("x.id").alias("id1"), F.col("y.id").alias("id2"), F.lit(1.0).alias("similarity"))
+    classes = members.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    members = checkpointed(members.join(classes.where("copies > 1"), "key", "left"))
+    named = F.coalesce("copies", F.lit(1)) <= settings.full_copies
+    light = members.where(named | (F.col("id") == F.col("least")))
+    between = checkpointed(class_pairs(all, settings))
+    across = None
+    for left, right in ((light, members), (members, light)):
+        one, two = (side.select(F.col("id").alias(i), F.col("key").alias(k)) for side, i, k in ((left, "i1", "key1"), (right, "i2", "key2")))
+        part = between.join(one, "key1").join(two, "key2").where("i1 <> i2")
+        part = part.select(F.least("i1", "i2").alias("id1"), F.greatest("i1", "i2").alias("id2"), "similarity")
+        across = part if across is None else across.unionAll(part)
+    copied = members.where("copies > 1")
+    x, y = copied.where(named).alias("x"), copied.where(named).alias("y")
+    same = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id1"), F.col("y.id").alias("id2"))
+    linked = copied.where(~named & (F.col("id") != F.col("least"))).select(F.col("least").alias("id1"), F.col("id").alias("id2"))
+    same = same.unionAll(linked).withColumn("similarity", F.lit(1.0))
     return across.unionAll(same).groupBy("id1", "id2").agg(F.max("similarity").alias("similarity"))
 
 

@@ -64,6 +64,12 @@ def test_alike_pairs(spark):
     assert lookalike.alike_pairs(df.limit(0), "page_id", ["title"]).count() == 0
 
 
+def test_large_values_are_linked_by_their_smallest_id(spark):
+    df = spark.createDataFrame([(i, "A") for i in range(5)] + [(i, "Ａ") for i in range(5, 9)] + [(9, "А")], "id int, t string")
+    found = sorted((r.id1, r.id2) for r in lookalike.alike_pairs(df, "id", ["t"], full_copies=2).collect())
+    assert found == sorted({(0, i) for i in range(5, 9)} | {(i, 5) for i in range(5)} | {(i, 9) for i in range(9)})
+
+
 def brute_cut(strength, start, limit, step):
     lowest, highest = start + limit.overlap + 1, start + limit.max_size
     middle = max(lowest, highest - step // 2)

@@ -103,6 +103,15 @@ def test_copies_cost_one_row(spark):
     assert all.select("key").distinct().count() == 61
 
 
+def test_large_classes_are_linked_by_their_smallest_id(spark):
+    a, b, c = ([f"{x}{i}" for i in range(30)] for x in "abc")
+    items = [(i, a) for i in range(1, 7)] + [(i, a + ["z"]) for i in range(7, 13)] + [(i, b) for i in (13, 14)] + [(15, b + ["z"]), (16, c)]
+    df = spark.createDataFrame(items, "id int, g array<string>")
+    found = sorted((r.id1, r.id2) for r in near.pairs(df, "id", "g", near.Settings(full_copies=3)).collect())
+    large = [(1, i) for i in range(2, 13)] + [(7, i) for i in range(8, 13)] + [(i, 7) for i in range(2, 7)]
+    assert found == sorted(large + [(13, 14), (13, 15), (14, 15)])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.sets(st.integers(0, 400), min_size=1, max_size=120), st.sets(st.integers(0, 400), min_size=1, max_size=120))
 def test_pivots_never_exceed_the_true_distance(a, b):
