@@ -89,39 +89,35 @@ def sketches(shingled: DataFrame) -> DataFrame:
     return bits.groupBy("block_id").agg(F.count("*").alias("n"), *[F.coalesce(w, F.lit(0).cast("bigint")).alias(f"w{i}") for i, w in enumerate(words)])
 
 
-def _side(i: int) -> list:
-    """Columns of a sketch table as one side of a pair: n1, w1_0, ... or n2, w2_0, ..."""
-    return [F.col("n").alias(f"n{i}"), *[F.col(f"w{j}").alias(f"w{i}_{j}") for j in range(WORDS)]]
-
-
-def may_be_near(max_distance: float):
-    """False only for pairs whose sizes or sketches prove a Jaccard distance above ``max_distance``."""
-    differing = sum((F.bit_count(F.col(f"w1_{j}").bitwiseXOR(F.col(f"w2_{j}"))) for j in range(WORDS)), F.lit(0))
-    sizes = F.least("n1", "n2") >= F.greatest("n1", "n2") * (1 - max_distance) - 1e-6
-    return sizes & (differing <= (F.col("n1") + F.col("n2")) * (max_distance / (2 - max_distance)) + 1e-6)
+def may_be_near(x: str, y: str, max_distance: float):
+    """False only for pairs whose sizes or sketches (of the aliases ``x`` and ``y``) prove a larger Jaccard distance."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differing = sum((F.bit_count(F.col(f"{x}.w{j}").bitwiseXOR(F.col(f"{y}.w{j}"))) for j in range(WORDS)), F.lit(0))
+    sizes = F.least(n, m) >= F.greatest(n, m) * (1 - max_distance) - 1e-6
+    return sizes & (differing <= (n + m) * (max_distance / (2 - max_distance)) + 1e-6)
 
 
 def near_candidates(banded: DataFrame, sketched: DataFrame, max_distance: float) -> DataFrame:
-    """The candidates whose sketches don't rule them out, with their sizes.
+    """The candidates whose sketches don't rule them out.
 
     The sketches travel with the bands (128 bytes for each), so the other pairs of a bucket end inside the join and are
-    never shuffled.
+    never shuffled. Both sides read one exchange.
     """
     rows = banded.join(sketched, "block_id")
-    one = rows.select("band", "key", F.col("block_id").alias("block_id1"), *_side(1))
-    two = rows.select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.col("block_id").alias("block_id2"), *_side(2))
-    met = one.join(two, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")) & (F.col("block_id1") < F.col("block_id2")) & may_be_near(max_distance))
-    return met.select("block_id1", "block_id2", "n1", "n2").distinct()
+    x, y = rows.alias("x"), rows.alias("y")
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.block_id") < F.col("y.block_id"))
+    met = x.join(y, same & may_be_near("x", "y", max_distance))
+    return met.select(F.col("x.block_id").alias("block_id1"), F.col("y.block_id").alias("block_id2")).distinct()
 
 
 def verified(left: DataFrame, shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
     """Pairs (block_id1, block_id2, distance) whose Jaccard distance 1 - |A and B| / |A or B| is at most ``max_distance``.
 
-    ``left`` has the pairs (block_id1, block_id2). The sets are fetched as 64-bit hashes.
+    ``left`` has the pairs; their sets are fetched as 64-bit hashes.
     """
     sets = shingled.select("block_id", F.array_distinct(F.transform("ngrams", lambda g: F.xxhash64(g))).alias("s"))
     one, two = (sets.select(F.col("block_id").alias(f"block_id{i}"), F.col("s").alias(f"s{i}")) for i in (1, 2))
-    shared = left.select("block_id1", "block_id2").join(one, "block_id1").join(two, "block_id2").withColumn("k", F.size(F.array_intersect("s1", "s2")))
+    shared = left.join(one, "block_id1").join(two, "block_id2").withColumn("k", F.size(F.array_intersect("s1", "s2")))
     distance = 1 - F.col("k") / (F.size("s1") + F.size("s2") - F.col("k"))
     return shared.select("block_id1", "block_id2", distance.alias("distance")).where(F.col("distance") <= config.max_distance)
 
