@@ -15,12 +15,12 @@ def groups(links: DataFrame, left: str, right: str, node: str = "node", group: s
     point); other columns are ignored. Rows with a null end or with equal ends are no links, repeated and turned rows
     count once, an empty table gives an empty result.
 
-    Each node keeps a parent that is never larger than itself. A round sends along every edge the smaller of the two
-    ends' parents (``min`` combines before the shuffle, so a hub of any degree costs its mappers a row each), hooks the
-    parent of the larger label as well as the node itself, then jumps pointers (parent of parent) and relabels the edges
-    by their parents. Edges inside one group drop out, so every round works on fewer rows, and the number of rounds is
-    logarithmic in the longest chain rather than linear. Each round is checkpointed; it ends when no edge between two
-    groups is left.
+    A round takes the smallest label along the edges: every label that has a smaller neighbour hooks onto the smallest
+    (``min`` combines before the shuffle, so a hub of any degree costs each mapper one row). Hooks lead to smaller labels, so
+    they form trees; pointer jumping (parent of parent, until nothing moves) brings every label to its root. Then edges and
+    nodes take their roots as labels, and edges inside one group drop out. Only labels without a smaller neighbour are roots,
+    at most half of those that have edges, so the rounds grow with the logarithm of the graph. Each round, and each jump, is
+    checkpointed; the end is reached when no edge joins two groups.
     """
     edges = (
         links.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"), F.col(left).alias("_l"), F.col(right).alias("_r"))
@@ -31,12 +31,8 @@ def groups(links: DataFrame, left: str, right: str, node: str = "node", group: s
     edges = checkpointed(edges)
     nodes = edges.select(F.explode(F.array("a", "b")).alias(node)).distinct()
     labels = nodes.select(F.col(node), F.col(node).alias(group))
-    rounds = 0
     while not edges.isEmpty():
-        # Minimum label over the edges: the larger end hooks onto the smallest neighbour that lies below it.
-        hooks = edges.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("p"))
-        # Every label in play is the target of a hook or hooks itself; roots point at themselves.
-        hooks = checkpointed(hooks)
+        hooks = checkpointed(edges.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("p")))
         while True:
             up = hooks.select(F.col("n").alias("_n"), F.col("p").alias("_p"))
             jumped = checkpointed(hooks.join(up, F.col("p") == F.col("_n"), "left").select("n", F.coalesce("_p", "p").alias("p"), F.col("_p").isNotNull().alias("moved")))
@@ -50,5 +46,4 @@ def groups(links: DataFrame, left: str, right: str, node: str = "node", group: s
             ends = ends.join(up, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_p", end)).select("a", "b")
         edges = checkpointed(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         labels = checkpointed(labels)
-        rounds += 1
     return labels
