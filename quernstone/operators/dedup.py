@@ -17,7 +17,7 @@ def block_components(blocks: DataFrame, config: M.LshConfig = M.LshConfig()) ->
     Blocks with fewer than k grams take no part in matching and stay alone, copies of them included.
     """
     shingled = staged(B.with_shingles(M.representatives(blocks, ["text"]), config.k).where(F.size("ngrams") > 0).select("block_id", "ngrams"))
-    pairs = M.near_pairs(shingled, config)
+    pairs = M.near_links(shingled, config)
     classes = M.exact_classes(blocks)
     matched = classes.join(shingled.select(F.col("block_id").alias("class_id")), "class_id", "left_semi")
     edges = pairs.select("block_id1", "block_id2").unionAll(matched.where("block_id <> class_id").select("block_id", "class_id"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import hashing
+from quernstone.plans.lineage import checkpointed, staged
 
 
 @dataclass(frozen=True)
@@ -128,6 +129,28 @@ def near_pairs(shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFram
     return verified(left, shingled, config)
 
 
+def near_links(shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
+    """Pairs out of ``near_pairs`` that connect the same blocks.
+
+    First every block of a bucket is verified against the bucket's smallest one. Blocks that are near one and the same are
+    connected then, so of the other pairs only those are looked at whose blocks are not: a bucket full of variants of one
+    text makes a row a block instead of all its pairs.
+    """
+    words = [f"w{j}" for j in range(WORDS)]
+    rows = staged(bands(signatures(shingled, config), config).join(sketches(shingled), "block_id"))
+    centres = rows.groupBy("band", "key").agg(F.count("*").alias("blocks"), F.min(F.struct("block_id", "n", *words)).alias("c")).where("blocks > 1").select("band", "key", "c.*")
+    x, y = centres.alias("x"), rows.alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.block_id") < F.col("y.block_id")) & may_be_near("x", "y", config.max_distance))
+    star = checkpointed(verified(met.select(F.col("x.block_id").alias("block_id1"), F.col("y.block_id").alias("block_id2")).distinct(), shingled, config))
+    hubs = star.groupBy(F.col("block_id2").alias("block_id")).agg(F.min("block_id1").alias("hub"))
+    marked = rows.join(hubs, "block_id", "left").withColumn("hub", F.coalesce("hub", "block_id"))
+    x, y = marked.alias("x"), marked.alias("y")
+    apart = (F.col("x.block_id") < F.col("y.block_id")) & (F.col("x.hub") != F.col("y.hub")) & (F.col("x.block_id") != F.col("y.hub"))
+    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & apart & may_be_near("x", "y", config.max_distance))
+    rest = rest.select(F.col("x.block_id").alias("block_id1"), F.col("y.block_id").alias("block_id2")).distinct()
+    return star.unionAll(verified(rest, shingled, config))
+
+
 def by_size_ratio(pairs: DataFrame, shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
     """Pairs whose distance 1 - |A| / |B| is at most ``max_distance``: for comparison with results made elsewhere.
 

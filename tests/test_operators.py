@@ -53,6 +53,20 @@ def test_verified_pairs_against_all_pairs(spark):
     assert found == {k: v for k, v in want.items() if v <= 0.6}
 
 
+def test_links_connect_what_pairs_connect(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(12):
+        base = [f"t{k}g{i}" for i in range(rng.randint(4, 30))]
+        for j in range(12):
+            rows.append((f"b{k:02d}{j:02d}", rng.sample(base, rng.randint(len(base) // 2, len(base))) + [f"x{rng.randint(0, 9)}"]))
+    df = spark.createDataFrame(rows, "block_id string, ngrams array<string>")
+    nodes = [r[0] for r in rows]
+    pairs, links = ([(r[0], r[1]) for r in f(df).collect()] for f in (minhash.near_pairs, minhash.near_links))
+    assert set(links) <= set(pairs) and len(links) < len(pairs)
+    assert union_find(nodes, links) == union_find(nodes, pairs)
+
+
 def test_planted_duplicates_are_found(spark):
     words = [f"w{i}" for i in range(400)]
     rng = random.Random(1)
