@@ -15,15 +15,19 @@ from quernstone.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _file_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    words = quality.vocabulary(table(spark, folder, "common_words"))
+    return quality.statistics(table(spark, folder, "corpus_files", "file_name", "text"), "file_name", "text", words)
+
+
 def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics, tails within the language and outlier score of every file."""
-    words = quality.vocabulary(table(spark, folder, "common_words"))
-    return quality.scored(quality.statistics(table(spark, folder, "corpus_files", "file_name", "text"), "file_name", "text", words), "file_name").drop("digest")
+    return quality.scored(_file_statistics(spark, folder), "file_name").drop("digest")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Files whose text is not natural prose."""
-    return quality.no_prose(p1_statistics(spark, folder)).select("file_name").distinct()
+    return quality.no_prose(_file_statistics(spark, folder)).select("file_name").distinct()
 
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:

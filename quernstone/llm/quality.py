@@ -34,10 +34,8 @@ MOST_WORDS = 100_000
 
 @dataclass(frozen=True)
 class Settings:
-    """A document is no natural prose if it is an outlier and the larger part of its characters tells nothing."""
+    """A document is no natural prose if the larger part of its characters tells nothing, however many others are like it."""
 
-    #: Least score of an outlier, e.g. one statistic in the lowest 8 % or two in the lowest 29 %.
-    least_score: float = 2.5
     most_prose: float = 0.5
 
 
@@ -119,8 +117,11 @@ def scored(stats: DataFrame, id: str) -> DataFrame:
 
 
 def no_prose(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Rows of ``scored`` that are outliers and hold more of lists, tables and junk than of sentences."""
-    return rows.where((F.col("characters") > 0) & (F.col("score") >= settings.least_score) & (F.col("prose_share") < settings.most_prose))
+    """Rows of ``statistics`` (or ``scored``) that hold more of lists, tables and junk than of sentences.
+
+    Scores have no say: they are ranks, so junk that is common, or alone in its language, would hide itself.
+    """
+    return rows.where((F.col("characters") > 0) & (F.col("prose_share") < settings.most_prose))
 
 
 def expected_score(tails_: list[float]) -> float:

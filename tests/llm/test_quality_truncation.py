@@ -85,6 +85,17 @@ def test_scores(spark, words):
     assert quality.scored(quality.statistics(df.limit(0), "file_name", "text", words), "file_name").count() == 0
 
 
+def test_common_junk_and_a_language_of_one_file(spark, words):
+    """A third of all rows, two thirds of the Chinese ones, are copies of one list, and the only German file is a list as well."""
+    listed, german = "- 和山的\n- 水寺\n- 林河 石桥\n" * 9, "- der Turm\n- die Burg\n- und Tal\n" * 9
+    texts = [(f"p{i}", PROSE * (i + 1)) for i in range(5)] + [(f"e{i}", ENGLISH * (i + 1)) for i in range(16)] + [(f"j{i}", listed) for i in range(11)] + [("g", german)]
+    stats = quality.statistics(spark.createDataFrame(texts, "file_name string, text string"), "file_name", "text", words)
+    assert [r.file_name for r in stats.where("lang = 'de'").collect()] == ["g"]
+    want = sorted(f"j{i}" for i in range(11))
+    assert sorted(r.file_name for r in quality.no_prose(quality.scored(stats, "file_name")).collect()) == ["g", *want]
+    assert sorted(r.file_name for r in quality.no_prose(stats).collect()) == ["g", *want]
+
+
 def test_vocabulary_table(spark):
     held = spark.createDataFrame([("en", "The"), ("en", None), (None, "x"), ("en", "The")], "lang string, word string")
     assert quality.vocabulary(held).words == {"en": {"the"}}
