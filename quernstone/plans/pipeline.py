@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from quernstone.functions import html, render
 from quernstone.functions import text as T
+from quernstone.functions.rules import SIMPLIFIED_FULL, TRADITIONAL_FULL
 from quernstone.operators import dedup, pages, tokenize
 from quernstone.operators.minhash import LshConfig
 
@@ -17,17 +18,19 @@ class PipelineConfig:
     lsh: LshConfig = field(default_factory=LshConfig)
     blocker: str = "chapter"
     only_popular: bool = False
+    #: Traditional characters and their simplified forms.
+    simplify: tuple[str, str] = (TRADITIONAL_FULL, SIMPLIFIED_FULL)
 
 
 def corpus(wiki: DataFrame, config: PipelineConfig = PipelineConfig(), views: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
-    """(file_name, text) in Markdown from pages (title, text); ``views`` (title, views) is needed for popular pages only."""
+    """(file_name, text) in Markdown and simplified characters from pages (title, text); ``views`` (title, views) is needed for popular pages only."""
     kept = pages.articles(wiki, done)
     if config.only_popular:
         if views is None:
             raise ValueError("popular pages need a table of views")
         kept = pages.popular(kept, views)
     rendered = pages.cleaned(kept).select("title", render.html_column("text").alias("html"))
-    return rendered.select(T.file_name("title").alias("file_name"), html.markdown_column("html").alias("text"))
+    return rendered.select(T.file_name("title").alias("file_name"), T.simplified(html.markdown_column("html"), config.simplify).alias("text"))
 
 
 def training_tokens(files: DataFrame, tokenizer: tokenize.TokenizerConfig, config: PipelineConfig = PipelineConfig()) -> DataFrame:

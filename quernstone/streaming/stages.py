@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quernstone.functions import html, render
 from quernstone.functions import text as T
+from quernstone.functions.rules import SIMPLIFIED_FULL, TRADITIONAL_FULL
 from quernstone.operators import pages as P
 from quernstone.plans.lineage import own_folder
 from quernstone.sources.streams import FolderTopic, KafkaTopic, as_messages, as_pages
@@ -49,18 +51,18 @@ def render_locally(pages: DataFrame) -> DataFrame:
     return pages.select("title", render.html_column("text").alias("text"))
 
 
-def markdown(pages: DataFrame) -> DataFrame:
-    return pages.select("title", html.markdown_column("text").alias("text"))
+def markdown(pages: DataFrame, simplify: tuple[str, str] = (TRADITIONAL_FULL, SIMPLIFIED_FULL)) -> DataFrame:
+    return pages.select("title", T.simplified(html.markdown_column("text"), simplify).alias("text"))
 
 
 def clean_wikitext(pages: DataFrame) -> DataFrame:
     return P.cleaned(P.articles(pages))
 
 
-def wiki_chain(root: str, first: Topic, most: int = 100) -> tuple[list[Stage], FolderTopic]:
-    """Wikitext -> clean wikitext -> HTML -> Markdown on folders below ``root``; the last topic holds the result."""
+def wiki_chain(root: str, first: Topic, most: int = 100, simplify: tuple[str, str] = (TRADITIONAL_FULL, SIMPLIFIED_FULL)) -> tuple[list[Stage], FolderTopic]:
+    """Wikitext -> clean wikitext -> HTML -> Markdown in simplified characters on folders below ``root``; the last topic holds the result."""
     topics = [first, *(FolderTopic(f"{root}/{name}", most) for name in ("wikitext", "html", "markdown"))]
-    steps: list[Transform] = [clean_wikitext, render_locally, markdown]
+    steps: list[Transform] = [clean_wikitext, render_locally, partial(markdown, simplify=simplify)]
     names = ("clean_wikitext", "render", "markdown")
     return [Stage(n, a, b, f, f"{root}/positions") for n, a, b, f in zip(names, topics, topics[1:], steps)], topics[-1]
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.operators import blocks, dedup, messages, minhash, pages, tokenize
 from quernstone.operators.components import connected_components
 from quernstone.plans import pipeline
+from quernstone.streaming import stages
 
 
 def union_find(nodes, edges):
@@ -106,6 +107,18 @@ def test_pipeline_needs_views(spark):
         pipeline.corpus(spark.createDataFrame([("a", "x")], "title string, text string"), pipeline.PipelineConfig(only_popular=True))
 
 
+def test_corpus_is_simplified(spark):
+    """Titles keep their characters; a traditional page gives the text of its simplified copy, in both chains."""
+    held = spark.createDataFrame([("來", "這個國家後來的\n== 歷史 ==\n時間與龍"), ("来", "这个国家后来的\n== 历史 ==\n时间与龙")], "title string, text string")
+    batch = {r.file_name: r.text for r in pipeline.corpus(held).collect()}
+    assert batch == dict.fromkeys(["來.txt", "来.txt"], "这个国家后来的\n\n## 历史\n\n时间与龙\n")
+    assert {r.file_name: r.text for r in stages.streamed_corpus(spark, held).collect()} == batch
+    other = pipeline.PipelineConfig(simplify=("歷", "历"))
+    assert {r.file_name: r.text for r in pipeline.corpus(held, other).collect()}["來.txt"] == "這個國家後來的\n\n## 历史\n\n時間與龍\n"
+    rendered = spark.createDataFrame([("a", "<p>歷時</p>")], "title string, text string")
+    assert stages.markdown(rendered, other.simplify).first().text == "历時\n"
+
+
 def test_chat(spark):
     turns = spark.createDataFrame([(1, 2, "user", "u"), (1, 1, "system", "s"), (1, 3, "assistant", "a"), (1, 4, "tool", "t")], "c int, turn int, role string, text string")
     assert messages.chats(turns, "c").first().text == "<|system|>\ns<|end|>\n<|user|>\nu<|end|>\n<|assistant|>\na<|end|>\n<|endoftext|>"
