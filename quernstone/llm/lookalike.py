@@ -236,13 +236,13 @@ def consistent(text: Column | str) -> Column:
     return F.arrow_udf(form, "string")(text)
 
 
-def alike_pairs(df: DataFrame, id: str, fields: list[str], full_copies: int = 1000) -> DataFrame:
+def alike_pairs(df: DataFrame, id: str, fields: list[str], full_copies: int | None = None) -> DataFrame:
     """Pairs (field, id1 < id2) of rows whose values in a field look the same but are not the same string.
 
     Only 128-bit digests of value and form are shuffled. Values are compared within a form only where it has several, so
-    a text copied any number of times forms no pairs with itself. Every pair is listed, but for two values of one form that
-    both have more than ``full_copies`` rows: there each row is paired with the smallest id of the other value. Null values and
-    null ids take no part.
+    a text copied any number of times forms no pairs with itself. Every pair is listed; with ``full_copies``, where two values
+    of one form both have more rows than that, each row is paired with the smallest id of the other value only. Null values
+    and null ids take no part.
     """
     forms = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), consistent(f).alias("form")) for f in fields])
     long = df.select(F.col(id).alias("id"), F.explode(forms).alias("v")).select("id", "v.*").where("value is not null and id is not null")
@@ -253,8 +253,10 @@ def alike_pairs(df: DataFrame, id: str, fields: list[str], full_copies: int = 10
     long = long.select("id", "field", digest("form").alias("form"), digest("value").alias("value")).distinct()
     mixed = long.groupBy("field", "form").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").select("field", "form")
     long = checkpointed(long.join(mixed, ["field", "form"], "left_semi"))
-    copies = long.groupBy("field", "form", "value").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
-    light = long.join(copies, ["field", "form", "value"]).where((F.col("copies") <= full_copies) | (F.col("id") == F.col("least")))
+    light = long
+    if full_copies is not None:
+        copies = long.groupBy("field", "form", "value").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+        light = long.join(copies, ["field", "form", "value"]).where((F.col("copies") <= full_copies) | (F.col("id") == F.col("least")))
     x, y = light.alias("x"), long.alias("y")
     met = x.join(y, (F.col("x.field") == F.col("y.field")) & (F.col("x.form") == F.col("y.form")) & (F.col("x.value") != F.col("y.value")) & (F.col("x.id") != F.col("y.id")))
     ids = F.col("x.id"), F.col("y.id")

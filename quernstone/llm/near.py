@@ -41,8 +41,8 @@ class Settings:
     segment_bits: int = 16
     references: int = 8
     seed: int = 1
-    #: Classes of up to so many equal sets are listed pair by pair; larger ones are linked by their smallest id.
-    full_copies: int = 1000
+    #: If given, classes of more than so many equal sets are linked by their smallest id instead of listed pair by pair.
+    full_copies: int | None = None
     #: Ids that may be broadcast to prefilter the sets (8 bytes each); beyond, the same filter is a shuffled join.
     broadcast_ids: int = 500_000
 
@@ -176,19 +176,20 @@ def class_pairs(all: DataFrame, settings: Settings) -> DataFrame:
 def pairs(df: DataFrame, id: str, items: str, settings: Settings = Settings()) -> DataFrame:
     """Pairs (id1 < id2, similarity) of different records that are similar enough, copies included.
 
-    Every pair is listed, but for classes of more than ``full_copies`` records with equal sets: those are linked by the
-    smallest id of the class (with each of its copies; with the records of another such class), so a class of n copies makes
-    n rows and not n * n. ``membership`` gives the same links without any expansion.
+    Every pair is listed, so n copies make n * (n - 1) / 2 rows; ``membership`` gives the same links without any expansion.
+    With ``full_copies``, larger classes of equal sets are linked by the smallest id of the class (with each of its copies;
+    with the records of another such class).
     """
     all = described(df, id, items, settings)
     members = all.select("id", "key").distinct()
     classes = members.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     members = checkpointed(members.join(classes.where("copies > 1"), "key", "left"))
-    named = F.coalesce("copies", F.lit(1)) <= settings.full_copies
+    named = F.lit(True) if settings.full_copies is None else F.coalesce("copies", F.lit(1)) <= settings.full_copies
     light = members.where(named | (F.col("id") == F.col("least")))
+    sides = [(members, members)] if settings.full_copies is None else [(light, members), (members, light)]
     between = checkpointed(class_pairs(all, settings))
     across = None
-    for left, right in ((light, members), (members, light)):
+    for left, right in sides:
         one, two = (side.select(F.col("id").alias(i), F.col("key").alias(k)) for side, i, k in ((left, "i1", "key1"), (right, "i2", "key2")))
         part = between.join(one, "key1").join(two, "key2").where("i1 <> i2")
         part = part.select(F.least("i1", "i2").alias("id1"), F.greatest("i1", "i2").alias("id2"), "similarity")

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quernstone.llm import lookalike, split
 
@@ -129,3 +130,8 @@ def test_very_long_text(spark):
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.int32)
     found = split.pieces(points, split.Limit(3000, 200))
     assert all(s for *_, s in found) and found[-1][1] == len(text)
+
+
+def test_many_rows_of_two_values_are_listed_pair_by_pair(spark):
+    rows = spark.range(2002).select(F.col("id"), F.when(F.col("id") % 2 == 0, "a b").otherwise("a\u00a0b").alias("t"))
+    assert lookalike.alike_pairs(rows, "id", ["t"]).count() == 1001 * 1001

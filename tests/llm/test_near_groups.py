@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quernstone.llm import components, near
 from quernstone.operators.components import connected_components
@@ -162,3 +163,8 @@ def test_groups_of_nothing(spark):
 def test_integer_nodes_are_ordered_by_value(spark):
     df = spark.createDataFrame([(10, 9), (100, 10)], "a bigint, b bigint")
     assert sorted(map(tuple, components.groups(df, "a", "b").collect())) == [(9, 9), (10, 9), (100, 9)]
+
+
+def test_many_copies_are_listed_pair_by_pair(spark):
+    rows = spark.range(1001).select(F.col("id").cast("string").alias("block_id"), F.array(F.lit("x"), F.lit("y")).alias("ngrams"))
+    assert near.pairs(rows, "block_id", "ngrams").count() == 1001 * 1000 // 2
