@@ -27,7 +27,16 @@ def p1_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Files whose text is not natural prose."""
-    return quality.no_prose(_file_statistics(spark, folder)).select("file_name").distinct()
+    return quality.no_prose(quality.scored(_file_statistics(spark, folder), "file_name")).select("file_name").distinct()
+
+
+def p1_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact ranks and tails, within the announced language, of the sizes of all documents (SQL can check these)."""
+    held = table(spark, folder, "documents", "doc_id", "text", "lang").where("text is not null")
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    sizes = F.array(*[F.struct(F.lit(n).alias("stat"), c.cast("double").alias("value")) for n, c in (("characters", F.length("text")), ("line_breaks", lines))])
+    long = held.select("doc_id", F.coalesce("lang", F.lit("und")).alias("grp"), F.explode(sizes).alias("v")).select("doc_id", "grp", "v.*")
+    return long.join(quality.tails(long), ["grp", "stat", "value"]).select("doc_id", "grp", "stat", "value", "rank", "total", "low", "high")
 
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,7 +112,7 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.shares(table(spark, folder, "documents", "doc_id", "text", "source"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p5_found, p6_ids, p7_containers, p7_fills, p8_found, p8_sources)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_ranks, p1_statistics, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p5_found, p6_ids, p7_containers, p7_fills, p8_found, p8_sources)}
 
 def _folded(column: str) -> str:
     """SQL for the consistent form, as far as the characters of the test tables go: one translation, then composition."""
@@ -139,6 +148,15 @@ _SIMILAR_BLOCKS = """
 _WALLS = "[\\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + split.MARKS + "]"
 
 ORACLES: dict[str, str] = {
+    "p1_ranks": """
+        WITH held AS (SELECT doc_id, coalesce(lang, 'und') AS grp, length(text) AS n, length(text) - length(replace(text, chr(10), '')) AS k FROM documents WHERE text IS NOT NULL),
+        long AS (SELECT doc_id, grp, 'characters' AS stat, n::DOUBLE AS value FROM held UNION ALL SELECT doc_id, grp, 'line_breaks', k::DOUBLE FROM held),
+        counted AS (
+            SELECT *, count(*) OVER (PARTITION BY grp, stat ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank,
+                   count(*) OVER (PARTITION BY grp, stat ORDER BY value RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above,
+                   count(*) OVER (PARTITION BY grp, stat) AS total FROM long
+        ) SELECT doc_id, grp, stat, value, rank, total, rank / total AS low, above / total AS high FROM counted
+    """,
     "p2_found": f"""
         WITH items AS (
             SELECT 'corpus_files' AS item_table, file_name, text FROM corpus_files

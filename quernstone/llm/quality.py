@@ -1,25 +1,30 @@
-"""Text quality: statistics of each document, exact ranks within its language, and outlier scores.
+"""Text quality: statistics of each document, exact ranks within its language, and outlier scores that decide.
 
 The ranks are those of a full sort, yet no task sees more than its range: equal values are counted before anything moves
 (so a value that a third of all documents share is one row), the distinct values are range-partitioned and sorted, every
-partition counts on from zero, and the offset of a partition is the sum of the partitions before it. A value's two tail
-probabilities are the shares of documents at or below it and at or above it. The score of a document adds up, over the
-statistics, -ln of the tail on the side where junk lies (of the smaller tail where junk may lie on either).
-
-Documents of no known language are ranked against all documents.
-
-Defined results: null, empty and blank texts have their statistics (all zero, language ``und``) and no ranks or score; exact
-duplicate rows count once; an empty table gives an empty result.
+partition counts on from zero, and the offset of a partition is the sum of the partitions before it.
+
+A rank says how many *natural* documents of the language lie at or below a value: junk is ranked, but not counted, and
+documents with the same statistics count once, so junk can't hide itself by being common. From the ranks follow two tail
+probabilities for each statistic; the score of a document adds up -ln of the tail on the side where junk lies (of the smaller
+tail where junk may lie on either). If a document is natural and its statistics independent, such a sum is at least ``s`` with
+probability exp(-s) (1 + s + s^2/2 + ...), with a term for each statistic. That times the number of natural documents is
+``expected``: how many of them would be as odd as this one by chance. Where only a few would be, the document is an outlier.
+Every document is ranked within its language and among all documents; the smaller ``expected`` holds. Documents of no known
+language are ranked among all only.
+
+Defined results: null, empty and blank texts have their statistics (all zero, language ``und``) and no score; exact
+duplicate rows count once; an empty table gives an empty result; in a language without natural documents every document is
+as odd as can be (``expected`` 0), and the exact check alone decides.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm import prose
@@ -34,9 +39,13 @@ MOST_WORDS = 100_000
 
 @dataclass(frozen=True)
 class Settings:
-    """A document is no natural prose if the larger part of its characters tells nothing, however many others are like it."""
+    """Outliers are documents than which at most ``most_alarms`` natural ones are expected to be odder by chance.
 
-    most_prose: float = 0.5
+    Natural are those of whose characters at least the share ``least_prose`` stands in sentences.
+    """
+
+    least_prose: float = 0.5
+    most_alarms: float = 3.0
 
 
 def vocabulary(common_words: DataFrame) -> prose.Vocabulary:
@@ -83,9 +92,11 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def tails(values: DataFrame) -> DataFrame:
     """(grp, stat, value) -> exact rank from below, tail probabilities ``low`` (at or below) and ``high`` (at or above).
 
-    ``values`` has the columns grp, stat, value; null values are left out.
+    ``values`` has the columns grp, stat, value, and may have ``weight``: rows of weight 0 are ranked but not counted. Null
+    values are left out; the tails are null in a group where nothing counts.
     """
-    counted = values.where("value is not null").groupBy("grp", "stat", "value").agg(F.count("*").alias("n"))
+    weight = F.col("weight") if "weight" in values.columns else F.lit(1)
+    counted = values.where("value is not null").groupBy("grp", "stat", "value").agg(F.sum(weight.cast("bigint")).alias("n"))
     ordered = counted.repartitionByRange("grp", "stat", "value").sortWithinPartitions("grp", "stat", "value")
     ordered = ordered.select("grp", "stat", "value", "n", F.spark_partition_id().alias("pid"))
     running = staged(ordered.mapInArrow(_running, "grp string, stat string, value double, n bigint, pid int, run bigint"))
@@ -95,35 +106,46 @@ def tails(values: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("part").over(group.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("grp", "stat", "pid", before.alias("offset"), F.sum("part").over(group).alias("total"))
     up_to = F.col("offset") + F.col("run")
-    return running.join(F.broadcast(parts), ["grp", "stat", "pid"]).select(
-        "grp", "stat", "value", up_to.alias("rank"), "total", (up_to / F.col("total")).alias("low"), ((F.col("total") - up_to + F.col("n")) / F.col("total")).alias("high")
-    )
+    ranked = running.join(F.broadcast(parts), ["grp", "stat", "pid"]).select("grp", "stat", "value", "n", up_to.alias("rank"), "total")
+    above = F.col("total") - F.col("rank") + F.col("n")
+    return ranked.withColumn("low", F.try_divide("rank", "total")).withColumn("high", F.try_divide(above, F.col("total")))
+
 
+def improbability(score: Column, statistics: int) -> Column:
+    """The probability that so many independent -ln tails add up to ``score`` or more."""
+    terms = [F.lit(1.0)]
+    for j in range(1, statistics):
+        terms.append(terms[-1] * score / F.lit(float(j)))
+    return F.exp(-score) * sum(terms[1:], terms[0])
 
-def scored(stats: DataFrame, id: str) -> DataFrame:
-    """The statistics with ``score``, and ``tail_<statistic>`` for each ranked statistic. Computed once."""
+
+def scored(stats: DataFrame, id: str, settings: Settings = Settings()) -> DataFrame:
+    """The statistics with ``score`` and ``expected``, and ``tail_<statistic>`` within the language (among all documents where
+    there is none). Computed once."""
     stats = staged(stats)
+    counts = F.col("prose_share") >= settings.least_prose
     named = F.array(*[F.struct(F.lit(s).alias("stat"), (F.col(s) + F.lit(0.0)).alias("value")) for s in SIDES])
-    long = stats.where("characters > 0").select(id, "digest", "lang", F.explode(named).alias("v")).select(id, "digest", "lang", "v.*")
-    values = long.select(F.explode(F.array("lang", F.lit("*"))).alias("grp"), "stat", "value").where("grp <> 'und'")
+    groups = F.array_compact(F.array(F.when(F.col("lang") != "und", F.col("lang")), F.lit("*")))
+    shown = stats.where("characters > 0").withColumn("grp", F.explode(groups))
+    # Documents with the same statistics are one row, which counts once.
+    once = shown.select("grp", *SIDES, counts.cast("int").alias("weight")).distinct()
+    by_value = tails(once.select("grp", "weight", F.explode(named).alias("v")).select("grp", "weight", "v.*"))
+    low = (F.col("rank") + 1) / (F.col("total") + 1)
+    high = (F.col("total") - F.col("rank") + F.col("n") + 1) / (F.col("total") + 1)
     side = F.create_map(*[F.lit(x) for pair in SIDES.items() for x in pair])[F.col("stat")]
-    tail = F.when(side == "low", F.col("low")).when(side == "high", F.col("high")).otherwise(F.least(F.lit(1.0), 2 * F.least("low", "high")))
-    by_value = tails(values).select("grp", "stat", "value", tail.alias("tail"))
-    grp = F.when(F.col("lang") == "und", F.lit("*")).otherwise(F.col("lang"))
-    ranked = long.select(id, "digest", grp.alias("grp"), "stat", "value").join(by_value, ["grp", "stat", "value"])
-    wide = ranked.groupBy(id, "digest").agg(F.sum(-F.log("tail")).alias("score"), *[F.min(F.when(F.col("stat") == s, F.col("tail"))).alias(f"tail_{s}") for s in SIDES])
-    wide = wide.withColumnsRenamed({id: "_id", "digest": "_digest"})
+    tail = F.when(side == "low", low).when(side == "high", high).otherwise(F.least(F.lit(1.0), 2 * F.least(low, high)))
+    by_value = by_value.select("grp", "stat", "value", tail.alias("tail"), "total")
+    ranked = shown.select(id, "digest", "grp", F.explode(named).alias("v")).select(id, "digest", "grp", "v.*").join(by_value, ["grp", "stat", "value"])
+    wide = ranked.groupBy(F.col(id).alias("_id"), F.col("digest").alias("_digest"))
+    scores, expected, in_all = {}, {}, F.col("grp") == "*"
+    for name, held in (("own", ~in_all), ("all", in_all)):
+        scores[name] = F.sum(F.when(held, -F.log("tail")))
+        expected[name] = F.max(F.when(held, F.col("total"))) * improbability(scores[name], len(SIDES))
+    own = [F.coalesce(F.min(F.when(mine & ~in_all, F.col("tail"))), F.min(F.when(mine, F.col("tail")))).alias(f"tail_{s}") for s in SIDES for mine in (F.col("stat") == s,)]
+    wide = wide.agg(F.coalesce(scores["own"], scores["all"]).alias("score"), F.least(expected["own"], expected["all"]).alias("expected"), *own)
     return stats.join(wide, F.col(id).eqNullSafe(F.col("_id")) & F.col("digest").eqNullSafe(F.col("_digest")), "left").drop("_id", "_digest")
 
 
 def no_prose(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Rows of ``statistics`` (or ``scored``) that hold more of lists, tables and junk than of sentences.
-
-    Scores have no say: they are ranks, so junk that is common, or alone in its language, would hide itself.
-    """
-    return rows.where((F.col("characters") > 0) & (F.col("prose_share") < settings.most_prose))
-
-
-def expected_score(tails_: list[float]) -> float:
-    """The score of a document with these tails (for tests and thresholds)."""
-    return sum(-math.log(t) for t in tails_)
+    """Rows of ``scored`` that are outliers, and hold more of lists, tables and junk than of sentences (the exact check)."""
+    return rows.where((F.col("expected") <= settings.most_alarms) & (F.col("prose_share") < settings.least_prose))
