@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +50,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a Parquet table in the shared folder (columns can be pruned when it is read)."""
+@dataclass(frozen=True)
+class Stage:
+    """A table in the shared folder, and what was counted while it was written."""
+
+    df: DataFrame
+    counts: dict[str, int]
+    path: str
+
+    def drop(self) -> None:
+        """Deletes the table; only for stages that nothing will read again."""
+        held = self.df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        _deleted(held.getFileSystem(self.df.sparkSession.sparkContext._jsc.hadoopConfiguration()), held)
+
+
+def stage(df: DataFrame, **counts: Column) -> Stage:
+    """``df`` computed once and kept as a Parquet table in the shared folder (columns can be pruned when it is read).
+
+    ``counts`` are aggregates that are taken on the way, without a job of their own.
+    """
     path = own_folder(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    kept = df.observe(seen, *[c.alias(name) for name, c in counts.items()]) if counts else df
+    kept.write.parquet(path)
+    return Stage(df.sparkSession.read.schema(df.schema).parquet(path), dict(seen.get) if counts else {}, path)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The table of ``stage``."""
+    return stage(df).df
