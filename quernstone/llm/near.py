@@ -41,8 +41,6 @@ class Settings:
     segment_bits: int = 16
     references: int = 8
     seed: int = 1
-    #: If given, classes of more than so many equal sets are linked by their smallest id instead of listed pair by pair.
-    full_copies: int | None = None
     #: Ids that may be broadcast to prefilter the sets (8 bytes each); beyond, the same filter is a shuffled join.
     broadcast_ids: int = 500_000
 
@@ -151,71 +149,88 @@ def described(df: DataFrame, id: str, items: str, settings: Settings) -> DataFra
     return staged(hashed.mapInArrow(_described(settings), schema))
 
 
-def class_pairs(all: DataFrame, settings: Settings) -> DataFrame:
-    """Verified pairs of classes: key1 < key2 (binary), similarity."""
-    banded = all.select("half", F.explode("bands").alias("band")).distinct()
-    candidates = banded.alias("x").join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.half") < F.col("y.half")))
-    candidates = candidates.select(F.col("x.half").alias("h1"), F.col("y.half").alias("h2")).distinct()
+def banded(all: DataFrame) -> DataFrame:
+    """(half, band) of every class."""
+    return all.select("half", F.explode("bands").alias("band")).distinct()
+
+
+def verified(candidates: DataFrame, all: DataFrame, settings: Settings) -> DataFrame:
+    """The candidates (h1, h2) that are similar enough: key1, key2 (binary), similarity."""
     tables = all.groupBy("half", "key").agg(F.first("n").alias("n"), F.first("pivots").alias("pivots"))
     one, two = (tables.select(F.col("half").alias(f"h{i}"), F.col("key").alias(f"key{i}"), F.col("n").alias(f"n{i}"), F.col("pivots").alias(f"t{i}")) for i in (1, 2))
     near = F.least("n1", "n2") >= F.ceil(F.greatest("n1", "n2") * settings.threshold - 1e-9)
     survivors = candidates.join(one, "h1").join(two, "h2").where(near)
     survivors = survivors.withColumn("apart", apart_at_least(settings)("t1", "t2")).where(F.col("apart") <= most_apart(F.col("n1"), F.col("n2"), settings.threshold))
-    survivors = checkpointed(survivors.select("h1", "h2", "key1", "key2"))
+    survivors = checkpointed(survivors.select("key1", "key2"))
     wanted = survivors.select(F.explode(F.array("key1", "key2")).alias("key")).distinct()
     few = wanted.limit(settings.broadcast_ids + 1).count() <= settings.broadcast_ids
     sets = all.select("key", "items").join(F.broadcast(wanted) if few else wanted, "key", "left_semi")
     sets = sets.groupBy("key").agg(F.first("items").alias("items"))
     one, two = (sets.select(F.col("key").alias(f"key{i}"), F.col("items").alias(f"items{i}")) for i in (1, 2))
-    both = survivors.select("key1", "key2").join(one, "key1").join(two, "key2")
+    both = survivors.join(one, "key1").join(two, "key2")
     shared = F.size(F.array_intersect("items1", "items2"))
     similarity = shared / (F.size("items1") + F.size("items2") - shared)
     return both.select("key1", "key2", similarity.alias("similarity")).where(F.col("similarity") >= settings.threshold)
 
 
+def class_pairs(all: DataFrame, settings: Settings) -> DataFrame:
+    """All verified pairs of classes: key1, key2 (binary), similarity."""
+    rows = banded(all)
+    met = rows.alias("x").join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.half") < F.col("y.half")))
+    return verified(met.select(F.col("x.half").alias("h1"), F.col("y.half").alias("h2")).distinct(), all, settings)
+
+
+def class_links(all: DataFrame, settings: Settings) -> DataFrame:
+    """Links out of ``class_pairs`` that connect the same classes: key1, key2.
+
+    First every class of a bucket is verified against the smallest one of the bucket, and the groups of these links are formed. What
+    is left are pairs in one bucket but in different groups, so a bucket full of variants of one text makes a row a class.
+    """
+    rows = staged(banded(all))
+    centres = rows.groupBy("band").agg(F.min("half").alias("h1"), F.max("half").alias("last")).where("h1 < last").select("band", "h1")
+    star = rows.join(centres, "band").where("h1 < half").select("h1", F.col("half").alias("h2")).distinct()
+    star = checkpointed(verified(star, all, settings).select("key1", "key2"))
+    names = all.select("key", "half").distinct()
+    keyed = star.join(names.withColumnsRenamed({"key": "key1", "half": "h1"}), "key1").join(names.withColumnsRenamed({"key": "key2", "half": "h2"}), "key2")
+    grouped = components.groups(keyed, "h1", "h2", "half", "grp")
+    marked = rows.join(grouped, "half", "left").select("band", "half", F.coalesce("grp", "half").alias("grp"))
+    mixed = marked.groupBy("band").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("band")
+    marked = checkpointed(marked.join(mixed, "band", "left_semi"))
+    met = marked.alias("x").join(marked.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.half") < F.col("y.half")) & (F.col("x.grp") != F.col("y.grp")))
+    rest = verified(met.select(F.col("x.half").alias("h1"), F.col("y.half").alias("h2")).distinct(), all, settings)
+    return star.unionAll(rest.select("key1", "key2"))
+
+
 def pairs(df: DataFrame, id: str, items: str, settings: Settings = Settings()) -> DataFrame:
     """Pairs (id1 < id2, similarity) of different records that are similar enough, copies included.
 
-    Every pair is listed, so n copies make n * (n - 1) / 2 rows; ``membership`` gives the same links without any expansion.
-    With ``full_copies``, larger classes of equal sets are linked by the smallest id of the class (with each of its copies;
-    with the records of another such class).
+    Every pair is listed, so n copies make n * (n - 1) / 2 rows; ``membership`` connects the same records without any expansion.
     """
     all = described(df, id, items, settings)
     members = all.select("id", "key").distinct()
-    classes = members.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = members.groupBy("key").agg(F.count("*").alias("copies"))
     members = checkpointed(members.join(classes.where("copies > 1"), "key", "left"))
-    named = F.lit(True) if settings.full_copies is None else F.coalesce("copies", F.lit(1)) <= settings.full_copies
-    light = members.where(named | (F.col("id") == F.col("least")))
-    sides = [(members, members)] if settings.full_copies is None else [(light, members), (members, light)]
-    between = checkpointed(class_pairs(all, settings))
-    across = None
-    for left, right in sides:
-        one, two = (side.select(F.col("id").alias(i), F.col("key").alias(k)) for side, i, k in ((left, "i1", "key1"), (right, "i2", "key2")))
-        part = between.join(one, "key1").join(two, "key2").where("i1 <> i2")
-        part = part.select(F.least("i1", "i2").alias("id1"), F.greatest("i1", "i2").alias("id2"), "similarity")
-        across = part if across is None else across.unionAll(part)
+    one, two = (members.select(F.col("id").alias(f"i{i}"), F.col("key").alias(f"key{i}")) for i in (1, 2))
+    across = class_pairs(all, settings).join(one, "key1").join(two, "key2").where("i1 <> i2")
+    across = across.select(F.least("i1", "i2").alias("id1"), F.greatest("i1", "i2").alias("id2"), "similarity")
     copied = members.where("copies > 1")
-    x, y = copied.where(named).alias("x"), copied.where(named).alias("y")
+    x, y = copied.alias("x"), copied.alias("y")
     same = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id1"), F.col("y.id").alias("id2"))
-    linked = copied.where(~named & (F.col("id") != F.col("least"))).select(F.col("least").alias("id1"), F.col("id").alias("id2"))
-    same = same.unionAll(linked).withColumn("similarity", F.lit(1.0))
-    return across.unionAll(same).groupBy("id1", "id2").agg(F.max("similarity").alias("similarity"))
+    return across.unionAll(same.withColumn("similarity", F.lit(1.0))).groupBy("id1", "id2").agg(F.max("similarity").alias("similarity"))
 
 
 def membership(df: DataFrame, id: str, items: str, settings: Settings = Settings()) -> DataFrame:
-    """One row a record with items: its class (smallest id with the same set), links to other classes, and its group.
+    """One row a record with items: its class (smallest id with the same set), the number of its copies, and its group.
 
     The group is the smallest id that the record reaches through similar records.
     """
     all = described(df, id, items, settings)
     members = checkpointed(all.select("id", "key").distinct())
     classes = members.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
-    links = checkpointed(class_pairs(all, settings))
     one, two = (classes.select(F.col("key").alias(f"key{i}"), F.col("class_id").alias(f"c{i}")) for i in (1, 2))
-    linked = links.join(one, "key1").join(two, "key2").select("c1", "c2")
+    linked = class_links(all, settings).join(one, "key1").join(two, "key2").select("c1", "c2")
     # An id with two item sets belongs to both classes and links them.
     split = members.join(classes, "key").where("id <> class_id").select(F.col("id").alias("c1"), F.col("class_id").alias("c2"))
     groups = components.groups(linked.unionAll(split), "c1", "c2", "id", "group_id")
-    degree = links.select(F.explode(F.array("key1", "key2")).alias("key")).groupBy("key").agg(F.count("*").alias("links"))
-    named = members.join(classes, "key").join(degree, "key", "left").join(groups, "id", "left")
-    return named.groupBy(F.col("id").alias(id)).agg(F.min("class_id").alias("class_id"), F.max("copies").alias("copies"), F.sum(F.coalesce("links", F.lit(0))).alias("links"), F.min(F.coalesce("group_id", "class_id")).alias("group_id"))
+    named = members.join(classes, "key").join(groups, "id", "left")
+    return named.groupBy(F.col("id").alias(id)).agg(F.min("class_id").alias("class_id"), F.max("copies").alias("copies"), F.min(F.coalesce("group_id", "class_id")).alias("group_id"))
