@@ -63,7 +63,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Each block with n-grams: class of equal sets, links to other classes, and group."""
+    """Each block with n-grams: class of equal sets, copies, and group."""
     return near.membership(table(spark, folder, "blocks", "block_id", "ngrams"), "block_id", "ngrams", BLOCKS)
 
 
@@ -73,6 +73,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("field").alias("page_field"), F.col("id1").alias("page_id1"), F.col("id2").alias("page_id2"))
 
 
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Title and text of every page: class of equal strings, and group of those that look the same."""
+    grouped = lookalike.membership(table(spark, folder, "wiki_pages", "page_id", "title", "text"), "page_id", ["title", "text"])
+    return grouped.withColumnRenamed("field", "page_field")
+
+
 def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Title and text of every page in their consistent form."""
     pages = table(spark, folder, "wiki_pages", "page_id", "title", "text").distinct()
@@ -112,7 +118,7 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.shares(table(spark, folder, "documents", "doc_id", "text", "source"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_ranks, p1_statistics, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p5_found, p6_ids, p7_containers, p7_fills, p8_found, p8_sources)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_ranks, p1_statistics, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p4_groups, p5_found, p6_ids, p7_containers, p7_fills, p8_found, p8_sources)}
 
 def _folded(column: str) -> str:
     """SQL for the consistent form, as far as the characters of the test tables go: one translation, then composition."""
@@ -169,9 +175,22 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT x.page_field, x.page_id AS page_id1, y.page_id AS page_id2
         FROM forms x JOIN forms y ON x.page_field = y.page_field AND x.form = y.form AND x.value <> y.value AND x.page_id < y.page_id
     """,
+    "p4_groups": f"""WITH {_FORMS}, kept AS (SELECT DISTINCT page_id, page_field, value, form FROM forms)
+        SELECT page_field, page_id, min(page_id) OVER (PARTITION BY page_field, value) AS class_id, count(*) OVER (PARTITION BY page_field, value) AS copies,
+               min(page_id) OVER (PARTITION BY page_field, form) AS group_id, len(list_distinct(list(value) OVER (PARTITION BY page_field, form))) AS spellings
+        FROM kept
+    """,
     "p4_forms": f"""WITH pages AS (SELECT DISTINCT page_id, title, text FROM wiki_pages)
         SELECT page_id, {_folded('title')} AS title, {_folded('text')} AS text FROM pages
     """,
+    "p3_groups": f"""WITH RECURSIVE {_SIMILAR_BLOCKS},
+        both_ways AS MATERIALIZED (SELECT a, b FROM similar_blocks UNION SELECT b, a FROM similar_blocks),
+        reach(block_id, seen) AS (SELECT block_id, block_id FROM sizes UNION SELECT r.block_id, e.b FROM reach r JOIN both_ways e ON e.a = r.seen),
+        grouped AS (SELECT block_id, min(seen) AS group_id FROM reach GROUP BY block_id),
+        sets AS (SELECT block_id, list_sort(list(g)) AS s FROM items GROUP BY block_id)
+        SELECT block_id, min(block_id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS copies, group_id
+        FROM sets JOIN grouped USING (block_id)
+    """,
     "p3_found": f"WITH {_SIMILAR_BLOCKS} SELECT a AS block_id1, b AS block_id2 FROM similar_blocks",
     "p5_found": """
         WITH RECURSIVE links AS (

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.plans.lineage import checkpointed
+from quernstone.plans.lineage import checkpointed, staged
 
 # Letters of other scripts that have the shape of a Latin letter, and characters of one shape.
 CYRILLIC = "аеорсухѕіјһԁԛԝАВЕЅІЈКМНОРСТХ", "aeopcyxsijhdqwABESIJKMHOPCTX"
@@ -236,28 +236,41 @@ def consistent(text: Column | str) -> Column:
     return F.arrow_udf(form, "string")(text)
 
 
-def alike_pairs(df: DataFrame, id: str, fields: list[str], full_copies: int | None = None) -> DataFrame:
-    """Pairs (field, id1 < id2) of rows whose values in a field look the same but are not the same string.
-
-    Only 128-bit digests of value and form are shuffled. Values are compared within a form only where it has several, so
-    a text copied any number of times forms no pairs with itself. Every pair is listed; with ``full_copies``, where two values
-    of one form both have more rows than that, each row is paired with the smallest id of the other value only. Null values
-    and null ids take no part.
-    """
+def digests(df: DataFrame, id: str, fields: list[str]) -> DataFrame:
+    """(id, field, form, value) with 128-bit digests, once each; the only step that reads texts. Null values and ids are left out."""
     forms = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), consistent(f).alias("form")) for f in fields])
     long = df.select(F.col(id).alias("id"), F.explode(forms).alias("v")).select("id", "v.*").where("value is not null and id is not null")
 
     def digest(name: str) -> Column:
         return F.struct(F.xxhash64(name), F.xxhash64(F.lit("second"), F.col(name)))
 
-    long = long.select("id", "field", digest("form").alias("form"), digest("value").alias("value")).distinct()
+    return staged(long.select("id", "field", digest("form").alias("form"), digest("value").alias("value")).distinct())
+
+
+def alike_pairs(df: DataFrame, id: str, fields: list[str]) -> DataFrame:
+    """Pairs (field, id1 < id2) of rows whose values in a field look the same but are not the same string.
+
+    Values are compared within a form only where it has several, so a text copied any number of times forms no pairs with itself.
+    Every pair is listed; ``membership`` says the same without any expansion. Null values and null ids take no part.
+    """
+    long = digests(df, id, fields)
     mixed = long.groupBy("field", "form").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").select("field", "form")
     long = checkpointed(long.join(mixed, ["field", "form"], "left_semi"))
-    light = long
-    if full_copies is not None:
-        copies = long.groupBy("field", "form", "value").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
-        light = long.join(copies, ["field", "form", "value"]).where((F.col("copies") <= full_copies) | (F.col("id") == F.col("least")))
-    x, y = light.alias("x"), long.alias("y")
+    x, y = long.alias("x"), long.alias("y")
     met = x.join(y, (F.col("x.field") == F.col("y.field")) & (F.col("x.form") == F.col("y.form")) & (F.col("x.value") != F.col("y.value")) & (F.col("x.id") != F.col("y.id")))
     ids = F.col("x.id"), F.col("y.id")
     return met.select(F.col("x.field").alias("field"), F.least(*ids).alias("id1"), F.greatest(*ids).alias("id2")).distinct()
+
+
+def membership(df: DataFrame, id: str, fields: list[str]) -> DataFrame:
+    """One row for each (``id``, field) with a value: the class of its string, and the group of all that look the same.
+
+    ``class_id`` is the smallest id with the same string, ``copies`` the number of ids with it, ``group_id`` the smallest id whose
+    value looks the same, ``spellings`` the number of different strings that do. An id with several values in a field has a row
+    for each. Counts are combined before they are shuffled, and no pair is formed, so a common form costs a row for each id.
+    """
+    long = digests(df, id, fields)
+    classes = long.groupBy("field", "form", "value").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
+    forms = classes.groupBy("field", "form").agg(F.min("class_id").alias("group_id"), F.count("*").alias("spellings"))
+    named = long.join(classes, ["field", "form", "value"]).join(forms, ["field", "form"])
+    return named.select("field", F.col("id").alias(id), "class_id", "copies", "group_id", "spellings")

@@ -65,10 +65,28 @@ def test_alike_pairs(spark):
     assert lookalike.alike_pairs(df.limit(0), "page_id", ["title"]).count() == 0
 
 
-def test_large_values_are_linked_by_their_smallest_id(spark):
-    df = spark.createDataFrame([(i, "A") for i in range(5)] + [(i, "Ａ") for i in range(5, 9)] + [(9, "А")], "id int, t string")
-    found = sorted((r.id1, r.id2) for r in lookalike.alike_pairs(df, "id", ["t"], full_copies=2).collect())
-    assert found == sorted({(0, i) for i in range(5, 9)} | {(i, 5) for i in range(5)} | {(i, 9) for i in range(9)})
+def test_membership(spark):
+    rows = [(1, "Ａ", "x"), (2, "A", "x"), (2, "A", "x"), (3, "A", None), (4, None, "x\u200b"), (5, "", "y"), (None, "Ａ", "x"), (1, "A", "x")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "page_id bigint, title string, text string, copies int")
+    found = sorted(tuple(r) for r in lookalike.membership(df, "page_id", ["title", "text"]).collect())
+    assert found == [
+        ("text", 1, 1, 2, 1, 2), ("text", 2, 1, 2, 1, 2), ("text", 4, 4, 1, 1, 2), ("text", 5, 5, 1, 5, 1),
+        ("title", 1, 1, 1, 1, 2), ("title", 1, 1, 3, 1, 2), ("title", 2, 1, 3, 1, 2), ("title", 3, 1, 3, 1, 2), ("title", 5, 5, 1, 5, 1),
+    ]
+    assert lookalike.membership(df.limit(0), "page_id", ["title"]).count() == 0
+
+
+def test_the_form_is_computed_once(spark):
+    df = spark.createDataFrame([(1, "Ａ"), (2, "A")], "id int, t string")
+    plan = lookalike.alike_pairs(df, "id", ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+
+
+def test_a_form_of_many_spellings_is_one_row_each(spark):
+    marks = ["\u200b" * k for k in range(400)]
+    df = spark.createDataFrame([(i, "A" + m) for i, m in enumerate(marks)], "id int, t string")
+    rows = lookalike.membership(df, "id", ["t"]).collect()
+    assert len(rows) == 400 and {(r.group_id, r.spellings) for r in rows} == {(0, 400)}
 
 
 def brute_cut(strength, start, limit, step):
