@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.plans.lineage import checkpointed
+from quernstone.plans.lineage import Stage, stage
 
 MOST_ROUNDS = 100
 
@@ -27,29 +27,29 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def _print(edges: DataFrame) -> tuple[int, int]:
-    """Count and checksum; equal for equal edge sets."""
-    row = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-    return row[0], row[1]
+def _kept(edges: DataFrame) -> Stage:
+    """The edges as a table, with their number and a checksum; both are equal for equal edge sets."""
+    return stage(edges, edges=F.count("*"), checksum=F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)))
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, vertex: str = "block_id") -> DataFrame:
     """(``vertex``, component) of every vertex: the smallest vertex that it reaches; vertices without edges keep their own.
 
-    ``edges`` has two columns of vertices; null ends and loops are ignored, direction and repeats don't matter.
+    ``edges`` has two columns of vertices; null ends and loops are ignored, direction and repeats don't matter. A round is one
+    table in the shared folder, counted while it is written; the one before is dropped.
     """
     a, b = edges.columns[:2]
     held = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    held = checkpointed(held.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    seen = _print(held)
-    for _ in range(MOST_ROUNDS if seen[0] else 0):
-        held = checkpointed(_star(_star(held, large=True), large=False))
-        now = _print(held)
-        if now == seen:
+    held = _kept(held.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    settled = not held.counts["edges"]
+    for _ in range(MOST_ROUNDS):
+        if settled:
             break
-        seen = now
+        last, held = held, _kept(_star(_star(held.df, large=True), large=False))
+        settled = last.counts == held.counts
+        last.drop()
     else:
-        if seen[0]:
-            raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+    held = held.df
     roots = held.select(F.col("u").alias(vertex), F.col("v").alias("component"))
     return vertices.select(vertex).distinct().join(roots, vertex, "left").select(vertex, F.coalesce("component", vertex).alias("component"))

@@ -10,6 +10,9 @@ from quernstone.operators import minhash as M
 from quernstone.operators.components import connected_components
 from quernstone.plans.lineage import staged
 
+#: For training data: runs of five words, similarity from 0.8 on, at least 0.995 of the pairs at that limit found.
+STAGE = M.LshConfig.for_similarity(0.8)
+
 
 def block_components(blocks: DataFrame, config: M.LshConfig = M.LshConfig()) -> DataFrame:
     """(block_id, component) of every block (block_id, text): near-duplicates share the smallest block id.
@@ -36,7 +39,7 @@ def assembled(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("file_name").agg(F.array_join(F.transform(ordered, lambda b: b["text"]), "\n").alias("text"))
 
 
-def deduplicated(files: DataFrame, config: M.LshConfig = M.LshConfig(), blocker: str = "chapter") -> DataFrame:
+def deduplicated(files: DataFrame, config: M.LshConfig = STAGE, blocker: str = "chapter") -> DataFrame:
     """Files (file_name, text) without their near-duplicate blocks; a file that loses all its blocks is gone."""
     blocks = staged(B.explode_blocks(files.distinct(), blocker=blocker))
     return assembled(survivors(blocks, config))

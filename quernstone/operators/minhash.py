@@ -7,18 +7,23 @@ joined with themselves on (band, key), which AQE splits where one is hot.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.functions import hashing
-from quernstone.plans.lineage import checkpointed, staged
+from quernstone.plans.lineage import staged
 
 
 @dataclass(frozen=True)
 class LshConfig:
-    """``max_distance`` is the largest Jaccard distance of a verified pair; bands * rows columns of the signature are used."""
+    """``max_distance`` is the largest Jaccard distance of a verified pair; bands * rows columns of the signature are used.
+
+    The defaults are those of the published job: a pair at similarity s is found with probability 1 - (1 - s**2)**2, that is 0.87 at 0.8
+    and 0.29 at the limit of 0.4. ``for_similarity`` chooses the bands by the share of pairs that is to be found.
+    """
 
     hashes: int = 4
     max_distance: float = 0.6
@@ -30,6 +35,14 @@ class LshConfig:
         if min(self.hashes, self.k, self.bands, self.rows) < 1 or self.bands * self.rows > self.hashes:
             raise ValueError(f"{self.bands} bands of {self.rows} rows don't fit into {self.hashes} hash functions")
 
+    @classmethod
+    def for_similarity(cls, similarity: float = 0.8, found: float = 0.995, rows: int = 3, k: int = 5) -> LshConfig:
+        """As many bands of ``rows`` as find the share ``found`` of the pairs at the limit, and more of all closer ones."""
+        if not 0 < similarity < 1 or not 0 < found < 1:
+            raise ValueError("shares lie between 0 and 1")
+        bands = math.ceil(math.log(1 - found) / math.log(1 - similarity**rows))
+        return cls(hashes=bands * rows, max_distance=1 - similarity, k=k, bands=bands, rows=rows)
+
 
 def exact_classes(blocks: DataFrame) -> DataFrame:
     """(block_id, class_id): blocks with equal text share the smallest block id. Exact duplicate rows count once."""
@@ -79,15 +92,26 @@ def candidates(banded: DataFrame) -> DataFrame:
 WORDS = 16
 
 
-def sketches(shingled: DataFrame) -> DataFrame:
-    """(block_id, n, w0, w1, ...): number of distinct shingles, and a bitmap with a bit set for each.
+def described(shingled: DataFrame, config: LshConfig) -> DataFrame:
+    """(block_id, n, signature, w0, w1, ...): number of distinct shingles, signature, and a bitmap with a bit set for each shingle.
 
-    Two bitmaps differ in at most as many bits as the sets differ in shingles. One row a block leaves the exploding stage.
+    Two bitmaps differ in at most as many bits as the sets differ in shingles. The shingles are exploded once, and one row a block
+    leaves that stage.
     """
     place = F.pmod(F.xxhash64("g"), F.lit(64 * WORDS)).cast("int")
-    bits = shingled.select("block_id", F.explode(F.array_distinct("ngrams")).alias("g")).select("block_id", place.alias("p"))
-    words = [F.bit_or(F.when(F.col("p") >= 64 * i, F.when(F.col("p") < 64 * (i + 1), F.expr(f"shiftleft(1L, p - {64 * i})"))).otherwise(F.lit(0).cast("bigint"))) for i in range(WORDS)]
-    return bits.groupBy("block_id").agg(F.count("*").alias("n"), *[F.coalesce(w, F.lit(0).cast("bigint")).alias(f"w{i}") for i, w in enumerate(words)])
+    items = shingled.select("block_id", F.explode(F.array_distinct("ngrams")).alias("g")).select("block_id", hashing.md5_32(F.col("g")).alias("h"), place.alias("p"))
+    items = items.select("block_id", "h", F.expr("p div 64").cast("int").alias("word"), F.expr("shiftleft(1L, p % 64)").alias("bit"))
+    minima = [F.min(hashing.affine(F.col("h"), a, b)).alias(f"s{i}") for i, (a, b) in enumerate(hashing.coefficients(config.hashes))]
+    words = [F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{i}") for i in range(WORDS)]
+    held = items.groupBy("block_id").agg(F.count("*").alias("n"), *minima, *words)
+    return held.select("block_id", "n", F.array(*[f"s{i}" for i in range(config.hashes)]).alias("signature"), *[f"w{i}" for i in range(WORDS)])
+
+
+def described_bands(shingled: DataFrame, config: LshConfig) -> DataFrame:
+    """(block_id, band, key, n, w0, ...): what of a block travels with its bands."""
+    rows = described(shingled, config)
+    slices = F.array(*[F.slice("signature", i * config.rows + 1, config.rows) for i in range(config.bands)])
+    return rows.select("block_id", "n", *[f"w{i}" for i in range(WORDS)], F.posexplode(slices).alias("band", "key"))
 
 
 def may_be_near(x: str, y: str, max_distance: float):
@@ -98,25 +122,22 @@ def may_be_near(x: str, y: str, max_distance: float):
     return sizes & (differing <= (n + m) * (max_distance / (2 - max_distance)) + 1e-6)
 
 
-def near_candidates(banded: DataFrame, sketched: DataFrame, max_distance: float) -> DataFrame:
-    """The candidates whose sketches don't rule them out.
-
-    The sketches travel with the bands (128 bytes for each), so the other pairs of a bucket end inside the join and are
-    never shuffled. Both sides read one exchange.
-    """
-    rows = banded.join(sketched, "block_id")
-    x, y = rows.alias("x"), rows.alias("y")
+def _met(x: DataFrame, y: DataFrame, condition: Column) -> DataFrame:
+    """Pairs (block_id1 < block_id2) of ``x`` and ``y`` in one bucket for which the condition holds, once each."""
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.block_id") < F.col("y.block_id"))
-    met = x.join(y, same & may_be_near("x", "y", max_distance))
-    return met.select(F.col("x.block_id").alias("block_id1"), F.col("y.block_id").alias("block_id2")).distinct()
+    return x.alias("x").join(y.alias("y"), same & condition).select(F.col("x.block_id").alias("block_id1"), F.col("y.block_id").alias("block_id2")).distinct()
+
 
+def hashed_sets(shingled: DataFrame) -> DataFrame:
+    """(block_id, s): the distinct shingles as 64-bit hashes."""
+    return shingled.select("block_id", F.array_distinct(F.transform("ngrams", lambda g: F.xxhash64(g))).alias("s"))
 
-def verified(left: DataFrame, shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
+
+def verified(left: DataFrame, sets: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
     """Pairs (block_id1, block_id2, distance) whose Jaccard distance 1 - |A and B| / |A or B| is at most ``max_distance``.
 
-    ``left`` has the pairs; their sets are fetched as 64-bit hashes.
+    ``left`` has the pairs, ``sets`` the sets that are fetched for them.
     """
-    sets = shingled.select("block_id", F.array_distinct(F.transform("ngrams", lambda g: F.xxhash64(g))).alias("s"))
     one, two = (sets.select(F.col("block_id").alias(f"block_id{i}"), F.col("s").alias(f"s{i}")) for i in (1, 2))
     shared = left.join(one, "block_id1").join(two, "block_id2").withColumn("k", F.size(F.array_intersect("s1", "s2")))
     distance = 1 - F.col("k") / (F.size("s1") + F.size("s2") - F.col("k"))
@@ -124,31 +145,33 @@ def verified(left: DataFrame, shingled: DataFrame, config: LshConfig = LshConfig
 
 
 def near_pairs(shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
-    """Signatures, bands, candidates and verification in one plan."""
-    left = near_candidates(bands(signatures(shingled, config), config), sketches(shingled), config.max_distance)
-    return verified(left, shingled, config)
+    """Signatures, bands, candidates and verification in one plan.
+
+    The sketches travel with the bands (128 bytes for each), so the pairs of a bucket that they rule out end inside the join and
+    are never shuffled. Both sides read one exchange.
+    """
+    rows = described_bands(shingled, config)
+    return verified(_met(rows, rows, may_be_near("x", "y", config.max_distance)), hashed_sets(shingled), config)
 
 
 def near_links(shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:
     """Pairs out of ``near_pairs`` that connect the same blocks.
 
     First every block of a bucket is verified against the bucket's smallest one. Blocks that are near one and the same are
-    connected then, so of the other pairs only those are looked at whose blocks are not: a bucket full of variants of one
-    text makes a row a block instead of all its pairs.
+    connected then, so of the other pairs only those are looked at whose blocks are not, in buckets that hold such: a bucket full
+    of variants of one text makes a row a block instead of all its pairs.
     """
-    words = [f"w{j}" for j in range(WORDS)]
-    rows = staged(bands(signatures(shingled, config), config).join(sketches(shingled), "block_id"))
-    centres = rows.groupBy("band", "key").agg(F.count("*").alias("blocks"), F.min(F.struct("block_id", "n", *words)).alias("c")).where("blocks > 1").select("band", "key", "c.*")
-    x, y = centres.alias("x"), rows.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.block_id") < F.col("y.block_id")) & may_be_near("x", "y", config.max_distance))
-    star = checkpointed(verified(met.select(F.col("x.block_id").alias("block_id1"), F.col("y.block_id").alias("block_id2")).distinct(), shingled, config))
+    near = may_be_near("x", "y", config.max_distance)
+    rows, sets = staged(described_bands(shingled, config)), staged(hashed_sets(shingled))
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("blocks"), F.min(F.struct("block_id", "n", *[f"w{j}" for j in range(WORDS)])).alias("c"))
+    centres = sizes.where("blocks > 1").select("band", "key", "c.*")
+    star = staged(verified(_met(centres, rows, near), sets, config))
     hubs = star.groupBy(F.col("block_id2").alias("block_id")).agg(F.min("block_id1").alias("hub"))
     marked = rows.join(hubs, "block_id", "left").withColumn("hub", F.coalesce("hub", "block_id"))
-    x, y = marked.alias("x"), marked.alias("y")
-    apart = (F.col("x.block_id") < F.col("y.block_id")) & (F.col("x.hub") != F.col("y.hub")) & (F.col("x.block_id") != F.col("y.hub"))
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & apart & may_be_near("x", "y", config.max_distance))
-    rest = rest.select(F.col("x.block_id").alias("block_id1"), F.col("y.block_id").alias("block_id2")).distinct()
-    return star.unionAll(verified(rest, shingled, config))
+    mixed = marked.groupBy("band", "key").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).where("low < high").select("band", "key")
+    marked = marked.join(mixed, ["band", "key"], "left_semi")
+    apart = (F.col("x.hub") != F.col("y.hub")) & (F.col("x.block_id") != F.col("y.hub"))
+    return star.unionAll(verified(_met(marked, marked, apart & near), sets, config))
 
 
 def by_size_ratio(pairs: DataFrame, shingled: DataFrame, config: LshConfig = LshConfig()) -> DataFrame:

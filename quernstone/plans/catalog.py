@@ -101,43 +101,38 @@ def block_id_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 # Near-duplicates.
 
+#: The published settings, and those of the stages that make training data.
 LSH = minhash.LshConfig()
-_PAIRS = hashing.coefficients(LSH.hashes)
-_REPRESENTATIVES = """
-    held AS MATERIALIZED (SELECT DISTINCT block_id, text, ngrams FROM blocks),
+STAGE = dedup.STAGE
+
+
+def _chain(config: minhash.LshConfig, held: str) -> dict[str, str]:
+    """The steps of near-duplicate matching as SQL, each with those before it; ``held`` gives block_id, text, ngrams."""
+    minima = ", ".join(f"min((h * {a} + {b}) % {hashing.PRIME})" for a, b in hashing.coefficients(config.hashes))
+    slices = ", ".join(f"signature[{i * config.rows + 1}:{(i + 1) * config.rows}]" for i in range(config.bands))
+    steps = {
+        "representatives": f"""
+    held AS MATERIALIZED ({held}),
     classes AS MATERIALIZED (SELECT block_id, min(block_id) OVER (PARTITION BY text) AS class_id, ngrams FROM held),
-    shingled AS MATERIALIZED (SELECT block_id, ngrams FROM classes WHERE block_id = class_id AND len(ngrams) > 0)
-"""
-_SIGNED = f"""{_REPRESENTATIVES},
-    hashed AS MATERIALIZED (
-        SELECT block_id, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM (SELECT block_id, unnest(ngrams) AS g FROM shingled)
-    ),
-    signed AS MATERIALIZED (
-        SELECT block_id, [{', '.join(f'min((h * {a} + {b}) % {hashing.PRIME})' for a, b in _PAIRS)}] AS signature FROM hashed GROUP BY block_id
-    )
-"""
-_BANDED = f"""{_SIGNED},
-    banded AS MATERIALIZED (
-        SELECT block_id, unnest([0, 1])::INTEGER AS band, unnest([signature[1:2], signature[3:4]]) AS key FROM signed
-    )
-"""
-_CANDIDATES = f"""{_BANDED},
+    shingled AS MATERIALIZED (SELECT block_id, ngrams FROM classes WHERE block_id = class_id AND len(ngrams) > 0)""",
+        "signed": f"""
+    hashed AS MATERIALIZED (SELECT block_id, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM (SELECT block_id, unnest(ngrams) AS g FROM shingled)),
+    signed AS MATERIALIZED (SELECT block_id, [{minima}] AS signature FROM hashed GROUP BY block_id)""",
+        "banded": f"""
+    banded AS MATERIALIZED (SELECT block_id, unnest(range({config.bands}))::INTEGER AS band, unnest([{slices}]) AS key FROM signed)""",
+        "candidates": """
     candidates AS MATERIALIZED (
         SELECT DISTINCT x.block_id AS block_id1, y.block_id AS block_id2
         FROM banded x JOIN banded y ON x.band = y.band AND x.key = y.key AND x.block_id < y.block_id
-    )
-"""
-_VERIFIED = f"""{_CANDIDATES},
+    )""",
+        "verified": f"""
     sets AS MATERIALIZED (SELECT block_id, list_distinct(ngrams) AS s FROM shingled),
     measured AS MATERIALIZED (
         SELECT block_id1, block_id2, len(list_intersect(p.s, q.s)) AS k, len(p.s) + len(q.s) AS n
         FROM candidates JOIN sets p ON p.block_id = block_id1 JOIN sets q ON q.block_id = block_id2
     ),
-    verified AS MATERIALIZED (
-        SELECT block_id1, block_id2, 1 - k / (n - k) AS distance FROM measured WHERE 1 - k / (n - k) <= {LSH.max_distance}
-    )
-"""
-_COMPONENTS = f"""{_VERIFIED},
+    verified AS MATERIALIZED (SELECT block_id1, block_id2, 1 - k / (n - k) AS distance FROM measured WHERE 1 - k / (n - k) <= {config.max_distance!r})""",
+        "components": """
     links AS MATERIALIZED (
         SELECT block_id1 AS a, block_id2 AS b FROM verified
         UNION SELECT block_id, class_id FROM classes WHERE block_id <> class_id AND len(ngrams) > 0
@@ -146,8 +141,17 @@ _COMPONENTS = f"""{_VERIFIED},
     reach(block_id, seen) AS (
         SELECT block_id, block_id FROM held UNION SELECT r.block_id, e.b FROM reach r JOIN both_ways e ON e.a = r.seen
     ),
-    components AS MATERIALIZED (SELECT block_id, min(seen) AS component FROM reach GROUP BY block_id)
-"""
+    components AS MATERIALIZED (SELECT block_id, min(seen) AS component FROM reach GROUP BY block_id)""",
+    }
+    so_far, chain = [], {}
+    for name, sql in steps.items():
+        so_far.append(sql)
+        chain[name] = ",".join(so_far)
+    return chain
+
+
+_PUBLISHED = _chain(LSH, "SELECT DISTINCT block_id, text, ngrams FROM blocks")
+_REPRESENTATIVES, _SIGNED, _BANDED, _CANDIDATES, _VERIFIED, _COMPONENTS = (_PUBLISHED[n] for n in ("representatives", "signed", "banded", "candidates", "verified", "components"))
 
 
 def _blocks(spark: SparkSession, folder: str) -> DataFrame:
@@ -235,21 +239,18 @@ def dedup_blocks_assembled(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.assembled(B.split_block_id(dedup.survivors(_blocks(spark, folder).distinct(), LSH)))
 
 
-def _chapters_as_blocks() -> str:
-    """The chain above over the chapters of the files instead of the block table."""
-    source = f"""{_CHAPTERS}, grammed AS MATERIALIZED (SELECT file_name || '_' || seq AS block_id, text, {_GRAMS} AS grams FROM chapters),
-    held AS MATERIALIZED (SELECT block_id, text, {_sql_shingles('grams', 3)} AS ngrams FROM grammed),"""
-    return _COMPONENTS.replace("held AS MATERIALIZED (SELECT DISTINCT block_id, text, ngrams FROM blocks),", source)
+_STAGE_BLOCKS = f"""{_CHAPTERS}, grammed AS MATERIALIZED (SELECT file_name || '_' || seq AS block_id, text, {_GRAMS} AS grams FROM chapters),
+    {_chain(STAGE, f"SELECT block_id, text, {_sql_shingles('grams', STAGE.k)} AS ngrams FROM grammed")['components']}"""
 
 
 @query(f"""
-    WITH RECURSIVE {_chapters_as_blocks()}
+    WITH RECURSIVE {_STAGE_BLOCKS}
     SELECT file_name, string_agg(c.text, chr(10) ORDER BY seq) AS text
     FROM chapters c JOIN components k ON k.block_id = file_name || '_' || seq AND k.component = k.block_id GROUP BY file_name
 """)
 def dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Files without their near-duplicate chapters."""
-    return dedup.deduplicated(table(spark, folder, "corpus_files", "file_name", "text"), LSH)
+    return dedup.deduplicated(table(spark, folder, "corpus_files", "file_name", "text"))
 
 
 @query("""

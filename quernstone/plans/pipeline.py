@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -15,7 +15,7 @@ from quernstone.operators.minhash import LshConfig
 
 @dataclass(frozen=True)
 class PipelineConfig:
-    lsh: LshConfig = field(default_factory=LshConfig)
+    lsh: LshConfig = dedup.STAGE
     blocker: str = "chapter"
     only_popular: bool = False
     #: Traditional characters and their simplified forms.

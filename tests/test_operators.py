@@ -1,6 +1,7 @@
 import itertools
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from quernstone.operators import blocks, dedup, messages, minhash, pages, tokenize
 from quernstone.operators.components import connected_components
 from quernstone.plans import pipeline
+from quernstone.plans.lineage import stage
 from quernstone.streaming import stages
 
 
@@ -49,7 +51,7 @@ def test_verified_pairs_against_all_pairs(spark):
     sets = {f"b{i:02d}": rng.sample(base, rng.randint(1, 40)) for i in range(25)}
     rows = spark.createDataFrame(list(sets.items()), "block_id string, ngrams array<string>")
     every = spark.createDataFrame(list(itertools.combinations(sets, 2)), "block_id1 string, block_id2 string")
-    found = {(r[0], r[1]): round(r[2], 9) for r in minhash.verified(every, rows).collect()}
+    found = {(r[0], r[1]): round(r[2], 9) for r in minhash.verified(every, minhash.hashed_sets(rows)).collect()}
     want = {(a, b): round(1 - len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}), 9) for a, b in itertools.combinations(sets, 2)}
     assert found == {k: v for k, v in want.items() if v <= 0.6}
 
@@ -168,3 +170,18 @@ def test_shapes_of_hot_plans(spark, small):
     assert plan.count("Exchange hashpartitioning") == 1
     filtered = spark.read.parquet(f"{small}/page_views.parquet").where(F.col("view_count") > 5).select("title")
     assert "PushedFilters: [IsNotNull(view_count), GreaterThan(view_count,5)]" in filtered._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bands_follow_from_the_similarity():
+    config = minhash.LshConfig.for_similarity(0.8)
+    assert (config.bands, config.rows, config.hashes, config.k) == (8, 3, 24, 5)
+    assert 1 - (1 - 0.8**3) ** config.bands >= 0.995 and config.max_distance == pytest.approx(0.2)
+    with pytest.raises(ValueError):
+        minhash.LshConfig.for_similarity(1.0)
+
+
+def test_a_stage_is_computed_and_counted_once(spark):
+    held = stage(spark.range(10).withColumn("x", F.rand()), rows=F.count("*"), most=F.max("id"))
+    assert held.counts == {"rows": 10, "most": 9} and held.df.collect() == held.df.collect()
+    held.drop()
+    assert not Path(held.path.removeprefix("file:")).exists()
