@@ -25,102 +25,11 @@ SECTIONS_DROPPED: Rules = (
     ("参看", EQUALS), ("另见", EQUALS), ("扩展阅读", EQUALS), ("延伸阅读", EQUALS),
 )
 LEAST_VIEWS, LEAST_LENGTH = 10_000, 500
-# Traditional characters and their simplified forms, one for one. Characters that have several simplified
-# forms, or whose form depends on the phrase, are left out; so are rare ones.
+# Frequent traditional characters and their simplified forms, one for one, for parsers that work without a session
+# (all that occur in the rules above are among them). ``script.simplification`` has all of them.
 TRADITIONAL = "參見閱連鏈結註釋擴讀獻頁書來時國學會長東車馬門間關開聞問義風飛電話語說請讓認識記計設許論證評詞試該詳誰課調談謝這進還過遠運達違適選遺邊鄉郵鄰醫釀錄錢鋼鐘鐵鎮鏡陣陽陰陸隊階際隨險雖雙難雲霧靈靜頂項順須預領頭題類願顯餘館駐驗體魚鳥麥黃點齊龍龜萬與業叢並亂於產億僅從倉儀價優兒內兩剛創劃劇劉動務勝勞勢區協單卻員啟喪圍圓圖團場壞塊塵壯聲處備夢夠夾奪奮婦寧實寶對尋導將屆層屬島嶺巖幣幫幾庫廣廳張強彈歸"
 SIMPLIFIED = "参见阅连链结注释扩读献页书来时国学会长东车马门间关开闻问义风飞电话语说请让认识记计设许论证评词试该详谁课调谈谢这进还过远运达违适选遗边乡邮邻医酿录钱钢钟铁镇镜阵阳阴陆队阶际随险虽双难云雾灵静顶项顺须预领头题类愿显余馆驻验体鱼鸟麦黄点齐龙龟万与业丛并乱于产亿仅从仓仪价优儿内两刚创划剧刘动务胜劳势区协单却员启丧围圆图团场坏块尘壮声处备梦够夹夺奋妇宁实宝对寻导将届层属岛岭岩币帮几库广厅张强弹归"
 
-# A fuller table for whole pages: the characters above, and all others of the two common blocks that ICU's transliterator
-# "Traditional-Simplified" changes by themselves, but for eight whose form depends on the phrase (乾著瞭藉夥覆徵鍾).
-TRADITIONAL_FULL = TRADITIONAL + (
-    "㑳㘚㠏㠣㥮㩜㩳㼆䃮䊷䋙䋻䓣䝼䡵䥑䥕䬗䮄䯀䰾䱽䲁䲘䴉䶧丟亙亞佇佈佔併侖侶侷俁係俔俠俬俱倀倆倈個們倖倣倫偉側偵偽傑傖傘傢傭傯傳傴債傷傾僂僇僉僑僕"
-    "僞僤僥僨僱儂儈儉儐儔儕儘償儲儷儸儺儻儼兇兌兗冊冪凈凍凜凱別刪剄則剋剎剗剝剮剴剷劊劌劍劏劑劚勁勗勛勣勩勱勳勵勸勻匭匯匱卹厙厠厭厲厴叄吒吢吳吶呂"
-    "咷咼唄唚唸啓啞啢喎喚喨喫喬喲嗆嗇嗊嗎嗚嗩嗶嘆嘍嘔嘖嘗嘜嘩嘮嘯嘰嘵嘸嘽噁噓噚噝噠噥噦噯噲噴噸噹嚀嚇嚌嚐嚕嚙嚥嚦嚨嚮嚲嚳嚴嚶囀囁囂囅囈囉囍囑囓囪"
-    "圇園垵埡埨埰執堅堊堖堝堯報塋塏塒塗塚塢塤塸塹塿墊墜墠墮墳墶墻墾壇壋壎壓壘壙壚壜壟壠壢壩壪壺壼壽奐奧奩奬奼妝姊姍姦姪娙娛婁婭媧媯媼媽嫋嫗嫵嫻嫿"
-    "嬀嬃嬈嬋嬌嬙嬝嬡嬤嬪嬰嬸孃孌孫孿宮寢審寫寬寵尅專尷屍屓屜屢屨岡峴峽崍崑崗崙崢崬嵐嵽嶁嶄嶇嶔嶗嶠嶢嶧嶨嶮嶴嶸嶼巋巒巔巘巰帥師帳帶幀幃幗幘幟幬幹"
-    "廁廂廄廈廎廚廝廞廟廠廡廢廩廬廻弒弔弳彄彆彌彎彙彞彠彥彿後徑徠復徬徹恆恥悅悞悳悵悶悽惡惱惲惻愛愜愨愴愷愾慄慇態慍慘慚慟慣慤慪慫慮慳慶慼慾憂憊憐"
-    "憑憒憖憚憤憫憮憲憶懃懇應懌懍懞懟懣懨懮懲懶懷懸懺懼懾戀戇戔戧戩戰戱戲戶拋挩挾捨捫捲掃掄掗掙掛採揀揚換揮搆損搖搗搥搧搨搵搶搾摀摑摜摟摯摳摶摺摻"
-    "撈撏撐撓撚撝撟撢撣撥撫撲撳撻撾撿擁擄擇擊擋擓擔據擠擣擬擯擰擱擲擷擺擻擼擾攄攆攏攔攖攙攛攜攝攢攣攤攪攬敗敘敵數斂斃斆斕斬斷昇晉晛晝暈暉暐暘暢暫"
-    "暱曄曆曇曉曏曖曠曨曬朧枒柵桿梔梘梜條梟梲棄棖棗棟棡棧棲棶椏楊楓楨極榖榪榮榲榿構槍槓槖槤槧槨槳樁樂樅樑樓標樞樣樸樹樺橈橋機橢橫檁檉檔檜檝檟檢檣"
-    "檮檯檳檸檻櫃櫍櫓櫚櫛櫝櫞櫟櫥櫧櫨櫪櫫櫬櫱櫳櫸櫺櫻欄權欏欒欓欖欞欵欽歎歐歛歟歡歲歷歿殘殞殤殨殫殮殯殰殲殺殼毀毆毬毿氂氈氌氣氫氬氳氹氾汎汙決沍沒"
-    "沖況洩洶浹浿涇涼淒淚淥淨淪淵淶淺渙減渢渦測渾湊湋湞湧湯溈準溝溫溮溳溼滄滅滌滎滬滯滲滷滸滻滾滿漁漊漍漚漢漣漬漲漵漸漿潁潑潔潕潙潛潤潯潰潷潿澀澆"
-    "澇澐澗澠澤澦澩澫澮澱濁濃濆濕濘濚濜濟濤濫濬濰濱濺濼濾瀂瀅瀆瀇瀉瀋瀏瀕瀘瀝瀟瀠瀦瀧瀨瀰瀲瀾灃灄灑灕灘灝灠灣灤灧災為烏烴無煉煒煙煢煥煩煬煱熅熒熗"
-    "熰熱熲熾燀燁燄燈燉燐燒燖燙燜營燦燬燭燴燶燻燼燾燿爍爐爛爭爲爺爾牀牆牋牘牽犖犢犧狀狹狽猙猶猻獁獃獄獅獎獨獪獫獮獰獱獲獵獷獸獺獼玀現琺琿瑋瑒瑣瑤"
-    "瑩瑪瑯瑲璉璊璕璗璡璣璦璫環璵璽瓅瓊瓏瓔瓚瓛甌甕産畝畢畫異當疇疊痀痙痠痾瘂瘋瘍瘓瘞瘡瘧瘮瘲瘺瘻療癆癇癉癒癘癟癡癢癤癥癧癩癬癭癮癰癱癲發皁皚皰皸"
-    "皺盃盜盞盡監盤盧盪眞眥眾睍睏睜睞睪瞇瞘瞜瞞瞶瞼矓矚矯砲硏硜硤硨硯碩碭碸確碼磑磚磣磧磯磽磾礄礆礎礐礙礡礦礪礫礬礮礱祕祿禍禎禕禡禦禪禮禰禱禿秈稅"
-    "稈稏稜稟種稱穀穇穌積穎穠穡穢穩穫穭窩窪窮窯窵窶窺竄竅竇竈竊竪競筆筍筧筴箇箋箎箏箝節範築篋篔篢篤篩篳簀簆簍簞簡簣簫簷簹簽簾籃籌籐籙籛籜籟籠籤籩"
-    "籪籬籮籲粧粵糝糞糧糰糲糴糶糹糾紀紂紃約紅紆紇紈紉紋納紐紓純紕紖紗紘紙級紛紜紝紞紡紬紮細紱紲紳紵紹紺紼紿絀終絃組絅絆絎絕絛絝絞絡絢給絨絪絰統絲"
-    "絳絶絹絺綁綃綄綆綈綉綌綎綏綐綑經綖綜綝綞綠綡綢綣綧綪綫綬維綯綰綱網綳綴綵綸綹綺綻綽綾綿緄緇緊緋緑緒緓緔緗緘緙線緝緞締緡緣緦編緩緬緯緱緲練緶緹"
-    "緻縈縉縊縋縐縑縕縗縛縝縞縟縣縧縫縭縮縯縱縲縳縴縵縶縷縹總績繃繅繆繒織繕繚繞繡繢繩繪繫繭繮繯繰繳繶繸繹繻繼繽繾繿纁纆纈纊續纍纏纓纔纕纖纘纜缽罃"
-    "罈罌罎罣罰罵罷羅羆羈羋羣羥羨羶習翫翬翹翺翽耬耮聖聯聰聳聵聶職聹聽聾肅脅脈脛脣脫脹腎腖腡腦腫腳腸膃膕膚膞膠膢膩膽膾膿臉臍臏臘臚臟臠臢臥臨臺興舉"
-    "舊舖艙艤艦艫艱艷芻苎苧茲荊荳莊莖莢莧菓華菸萇萊萵葉葒葤葦葯葷蒍蒐蒓蒔蒞蒼蓀蓆蓋蓮蓯蓽蔄蔔蔞蔣蔥蔦蔭蔴蔿蕁蕆蕎蕒蕓蕕蕘蕢蕩蕪蕭蕷薀薈薊薌薑薔薘"
-    "薟薦薩薳薴薺藍藎藝藥藪藭藴藶藷藹藺蘀蘄蘆蘇蘊蘋蘚蘞蘢蘭蘺蘿虆虉虛虜號虧虯蛺蛻蜆蝀蝕蝟蝦蝨蝸螄螞螢螮螻螿蟄蟈蟎蟣蟬蟯蟲蟶蟻蠅蠆蠍蠐蠑蠔蠟蠣蠧蠨"
-    "蠱蠶蠻衆衊術衚衛衝袞袴裊裏補裝裡製複褌褘褲褳褸褻襀襇襏襖襝襠襤襪襬襯襲襴覈覎規覓視覘覡覥覦親覬覯覲覷覺覽覿觀觴觶觸訁訂訃訊訌討訏訐訒訓訕訖託"
-    "訛訝訟訢訣訥訩訪訴訶診証詁詆詎詐詒詔詖詗詘詛詝詠詡詢詣詩詪詫詬詭詮詰詵詷詼詿誄誅誆誇誌誑誒誕誘誚誠誡誣誤誥誦誨説誶誹誼誾諂諄諉諍諏諑諒諓諗諛"
-    "諜諝諞諟諡諢諤諦諧諫諭諮諱諲諳諴諶諷諸諺諼諾謀謁謂謄謅謊謎謏謐謔謖謗謙謚講謠謡謨謫謬謭謳謹謾譁譅譎譏譓譖譙譚譜譞譟譫譯議譴護譸譽譾變讋讌讎讒"
-    "讕讖讚讜讞豈豎豐豔豬豶貍貓貙貝貞貟負財貢貧貨販貪貫責貯貰貲貳貴貶買貸貺費貼貽貿賀賁賂賃賄賅資賈賊賑賒賓賕賙賚賜賞賠賡賢賣賤賦賧質賫賬賭賰賴賵"
-    "賸賺賻購賽賾贄贅贇贈贊贋贍贏贐贓贔贖贗贛贜赬趕趙趨趲跡跤跼踐踡踰踴蹌蹕蹟蹣蹤蹧蹺躂躉躊躋躍躑躒躓躕躚躡躥躦躪軀軋軌軍軏軑軒軔軛軝軟軤軫軲軸軹"
-    "軺軻軼軾較輄輅輇輈載輊輋輒輓輔輕輗輛輜輝輞輟輥輦輩輪輬輮輯輳輶輸輻輾輿轀轂轄轅轆轉轍轎轔轝轟轡轢轤辦辭辮辯農迴逕週遊遙遜遞遯遲遷遼邁邇邏邐郟"
-    "鄆鄒鄔鄖鄧鄩鄭鄲鄳鄴鄶鄺酇酈醃醖醜醞醬醱醲醼釁釃釅釐釒釓釔釕釗釘釙針釣釤釦釧釩釴釵釷釹釺釿鈀鈁鈃鈄鈇鈈鈉鈍鈎鈐鈑鈒鈔鈕鈞鈣鈥鈦鈧鈮鈰鈳鈴鈷鈸"
-    "鈹鈺鈽鈾鈿鉀鉅鉈鉉鉊鉋鉍鉑鉕鉗鉚鉛鉝鉞鉢鉤鉥鉦鉧鉨鉬鉭鉮鉶鉷鉸鉺鉻鉿銀銃銅銈銍銑銓銖銘銚銛銜銠銣銥銦銨銩銪銫銬銱銲銳銶銷銹銻銼鋁鋃鋅鋇鋌鋏鋐"
-    "鋒鋗鋙鋝鋟鋣鋤鋥鋦鋨鋩鋪鋭鋮鋯鋰鋱鋶鋸鋹錀錁錆錇錈錏錐錒錕錘錙錚錛錞錟錠錡錤錦錨錩錫錮錯録錳錶錸鍀鍁鍃鍆鍇鍈鍊鍋鍍鍔鍘鍚鍛鍠鍤鍥鍩鍬鍭鍰鍵鍶"
-    "鍺鎂鎄鎇鎊鎓鎔鎖鎗鎘鎚鎛鎝鎡鎢鎣鎦鎧鎩鎪鎬鎰鎲鎳鎵鎶鎸鎿鏃鏇鏌鏍鏏鏐鏑鏗鏘鏜鏝鏞鏟鏢鏤鏨鏰鏵鏷鏹鏺鏻鏽鐃鐄鐇鐋鐍鐏鐐鐒鐓鐔鐙鐝鐠鐦鐧鐨鐩鐫鐮"
-    "鐯鐲鐳鐶鐸鐺鐽鐿鑄鑈鑊鑌鑑鑒鑔鑕鑞鑠鑣鑥鑪鑭鑰鑱鑲鑷鑹鑼鑽鑾鑿钁閂閃閆閈閉閌閎閏閑閒閔閘閡関閣閥閧閨閩閫閬閭閲閶閹閻閼閽閾閿闃闆闇闈闉闊闋闌"
-    "闍闐闑闒闓闔闕闖闘闞闠闡闢闤闥阨阪陘陝陞陳隄隉隑隕隤隮隱隴隸隻雋雛雜雞離霑霢霽靂靄靆靉靚靦靨靷鞀鞏鞝鞽韁韃韉韋韌韍韓韙韜韞韡韮韻響頃頇頊頌頍"
-    "頎頏頑頒頓頔頗頜頠頡頤頦頫頮頰頲頴頵頷頸頹頻頽顆額顎顏顒顓顔顗顙顛顢顥顧顫顬顰顱顳顴颭颮颯颱颳颶颸颺颻颼飀飄飆飈飠飢飣飥飩飪飫飭飯飲飴飼飽飾"
-    "飿餃餄餅餉養餌餎餏餑餒餓餕餖餗餚餛餜餞餡餬餱餳餵餶餷餺餼餽餾餿饁饃饅饈饉饊饋饌饑饒饗饘饜饞饢馭馮馱馳馴馹馼駁駃駉駑駒駓駔駕駘駙駛駝駟駡駢駪駭"
-    "駰駱駸駼駿騁騂騄騅騊騌騍騎騏騑騖騙騞騠騤騧騫騭騮騰騱騵騶騷騸騾驀驁驂驃驄驅驊驌驍驎驏驕驚驛驟驢驤驥驦驪驫骯髏髒髕髖髮鬀鬆鬍鬚鬢鬥鬧鬨鬩鬭鬮鬱"
-    "鬹魎魘魛魢魨魯魴魷魺鮀鮁鮃鮆鮈鮊鮋鮍鮎鮐鮑鮒鮓鮚鮜鮝鮞鮟鮠鮡鮣鮦鮪鮫鮭鮮鮳鮶鮸鮺鯀鯁鯇鯉鯊鯒鯔鯕鯖鯛鯝鯡鯢鯤鯧鯨鯪鯫鯰鯴鯷鯻鯽鯿鰁鰂鰃鰆鰈鰉"
-    "鰊鰍鰏鰐鰒鰓鰜鰟鰠鰣鰤鰥鰧鰨鰩鰭鰮鰱鰲鰳鰵鰶鰷鰹鰺鰻鰼鰾鱀鱂鱅鱇鱈鱉鱒鱔鱖鱗鱘鱚鱝鱟鱠鱣鱤鱧鱨鱭鱯鱲鱷鱸鱺鳧鳩鳬鳲鳳鳴鳶鳾鴆鴇鴉鴒鴕鴛鴝鴞鴟"
-    "鴣鴦鴨鴯鴰鴴鴷鴻鴿鵁鵂鵃鵏鵐鵑鵒鵓鵜鵝鵟鵠鵡鵪鵬鵮鵯鵲鵷鵾鶄鶇鶉鶊鶓鶖鶘鶚鶠鶡鶥鶩鶪鶬鶯鶱鶲鶴鶹鶺鶻鶼鷀鷁鷂鷄鷈鷊鷓鷖鷗鷙鷚鷟鷥鷦鷫鷭鷯鷲鷳"
-    "鷸鷹鷺鷽鷿鸂鸇鸌鸏鸑鸕鸘鸚鸛鸝鸞鹵鹹鹺鹼鹽麗麤麩麯麴麵麼麽黌黨黲黴黶黷黽黿鼇鼈鼉鼕鼴齋齎齏齒齔齕齗齘齙齜齟齠齡齣齦齧齩齪齬齮齯齲齶齷齼龎龐龑"
-    "龔龕"
-)
-SIMPLIFIED_FULL = SIMPLIFIED + (
-    "㑇㘎㟆𫵷㤘㨫㧐𬎆鿎䌶䌺䌾𬜯䞍𫟦鿏𬭯扬𫠊䯅鲃䲝鳚鳤鹮咬丢亘亚伫布占并仑侣局俣系伣侠私具伥俩俫个们幸仿伦伟侧侦伪杰伧伞家佣偬传伛债伤倾偻戮佥侨仆"
-    "伪𫢸侥偾雇侬侩俭傧俦侪尽偿储俪㑩傩傥俨凶兑兖册幂净冻凛凯别删刭则克刹刬剥剐剀铲刽刿剑㓥剂㔉劲勖勋𪟝勚劢勋励劝匀匦汇匮恤厍厕厌厉厣叁咤吣吴呐吕"
-    "啕呙呗吣念启哑唡㖞唤亮吃乔哟呛啬唝吗呜唢哔叹喽呕啧尝唛哗唠啸叽哓呒啴𫫇嘘㖊咝哒哝哕嗳哙喷吨当咛吓哜尝噜啮咽呖咙向亸喾严嘤啭嗫嚣冁呓啰禧嘱啮囱"
-    "囵园埯垭𫭢采执坚垩垴埚尧报茔垲埘涂冢坞埙𫭟堑𪣻垫坠𫮃堕坟垯墙垦坛垱埙压垒圹垆坛垄垅坜坝塆壶壸寿奂奥奁奖姹妆姐姗奸侄𫰛娱娄娅娲妫媪妈袅妪妩娴婳"
-    "妫媭娆婵娇嫱袅嫒嬷嫔婴婶娘娈孙孪宫寝审写宽宠克专尴尸屃屉屡屦冈岘峡崃昆岗仑峥岽岚𫶇嵝崭岖嵚崂峤峣峄峃崄岙嵘屿岿峦巅𪩘巯帅师帐带帧帏帼帻帜帱干"
-    "厕厢厩厦庼厨厮𫷷庙厂庑废廪庐回弑吊弪𫸩别弥弯汇彝彟彦佛后径徕复彷彻恒耻悦悮德怅闷凄恶恼恽恻爱惬悫怆恺忾栗殷态愠惨惭恸惯悫怄怂虑悭庆戚欲忧惫怜"
-    "凭愦慭惮愤悯怃宪忆勤恳应怿懔蒙怼懑恹忧惩懒怀悬忏惧慑恋戆戋戗戬战戯戏户抛捝挟舍扪卷扫抡挜挣挂采拣扬换挥构损摇捣捶扇拓揾抢榨捂掴掼搂挚抠抟折掺"
-    "捞挦撑挠捻㧑挢掸掸拨抚扑揿挞挝捡拥掳择击挡㧟担据挤捣拟摈拧搁掷撷摆擞撸扰摅撵拢拦撄搀撺携摄攒挛摊搅揽败叙敌数敛毙敩斓斩断升晋𬀪昼晕晖𬀩旸畅暂"
-    "昵晔历昙晓向暧旷昽晒胧丫栅杆栀枧𬂩条枭棁弃枨枣栋㭎栈栖梾桠杨枫桢极谷杩荣榅桤构枪杠橐梿椠椁桨桩乐枞梁楼标枢样朴树桦桡桥机椭横檩柽档桧楫槚检樯"
-    "梼台槟柠槛柜𬃊橹榈栉椟橼栎橱槠栌枥橥榇蘖栊榉棂樱栏权椤栾𣗋榄棂款钦叹欧敛欤欢岁历殁残殒殇㱮殚殓殡㱩歼杀壳毁殴球毵牦毡氇气氢氩氲凼泛泛污决冱没"
-    "冲况泄汹浃𬇙泾凉凄泪渌净沦渊涞浅涣减沨涡测浑凑𣲗浈涌汤沩准沟温浉涢湿沧灭涤荥沪滞渗卤浒浐滚满渔溇𬇹沤汉涟渍涨溆渐浆颍泼洁𣲘沩潜润浔溃滗涠涩浇"
-    "涝沄涧渑泽滪泶𬇕浍淀浊浓𣸣湿泞溁浕济涛滥浚潍滨溅泺滤澛滢渎㲿泻沈浏濒泸沥潇潆潴泷濑弥潋澜沣滠洒漓滩灏漤湾滦滟灾为乌烃无炼炜烟茕焕烦炀㶽煴荧炝"
-    "𬉼热颎炽𬊤烨焰灯炖磷烧𬊈烫焖营灿毁烛烩㶶熏烬焘耀烁炉烂争为爷尔床墙笺牍牵荦犊牺状狭狈狰犹狲犸呆狱狮奖独狯猃狝狞㺍获猎犷兽獭猕猡现珐珲玮玚琐瑶"
-    "莹玛琅玱琏𫞩𬍤𬍡琎玑瑷珰环玙玺𬍛琼珑璎瓒𤩽瓯瓮产亩毕画异当畴叠佝痉酸疴痖疯疡痪瘗疮疟瘆疭瘘瘘疗痨痫瘅愈疠瘪痴痒疖症疬癞癣瘿瘾痈瘫癫发皂皑疱皲"
-    "皱杯盗盏尽监盘卢荡真眦众𪾢困睁睐睾眯眍䁖瞒瞆睑眬瞩矫炮研硁硖砗砚硕砀砜确码硙砖碜碛矶硗䃅硚硷础𬒈碍礴矿砺砾矾炮砻秘禄祸祯祎祃御禅礼祢祷秃籼税"
-    "秆䅉棱禀种称谷䅟稣积颖秾穑秽稳获稆窝洼穷窑窎窭窥窜窍窦灶窃竖竞笔笋笕䇲个笺篪筝钳节范筑箧筼𬕂笃筛筚箦筘篓箪简篑箫檐筜签帘篮筹藤箓篯箨籁笼签笾"
-    "簖篱箩吁妆粤糁粪粮团粝籴粜纟纠纪纣𬘓约红纡纥纨纫纹纳纽纾纯纰纼纱纮纸级纷纭纴𬘘纺䌷扎细绂绁绅纻绍绀绋绐绌终弦组䌹绊绗绝绦绔绞络绚给绒𬘡绖统丝"
-    "绛绝绢𫄨绑绡𬘫绠绨绣绤𬘩绥䌼捆经𫄧综𬘭缍绿𫟅绸绻𬘯𬘬线绶维绹绾纲网绷缀彩纶绺绮绽绰绫绵绲缁紧绯绿绪绬绱缃缄缂线缉缎缔缗缘缌编缓缅纬缑缈练缏缇"
-    "致萦缙缢缒绉缣缊缞缚缜缟缛县绦缝缡缩𬙂纵缧䌸纤缦絷缕缥总绩绷缫缪缯织缮缭绕绣缋绳绘系茧缰缳缲缴𫄷䍁绎𦈡继缤缱䍀𫄸𬙊缬纩续累缠缨才𬙋纤缵缆钵䓨"
-    "坛罂坛挂罚骂罢罗罴羁芈群羟羡膻习玩翚翘翱翙耧耢圣联聪耸聩聂职聍听聋肃胁脉胫唇脱胀肾胨脶脑肿脚肠腽腘肤䏝胶𦝼腻胆脍脓脸脐膑腊胪脏脔臜卧临台兴举"
-    "旧铺舱舣舰舻艰艳刍苧苎兹荆豆庄茎荚苋果华烟苌莱莴叶荭荮苇药荤𫇭搜莼莳莅苍荪席盖莲苁荜𬜬卜蒌蒋葱茑荫麻𫇭荨蒇荞荬芸莸荛蒉荡芜萧蓣蕰荟蓟芗姜蔷荙"
-    "莶荐萨䓕苧荠蓝荩艺药薮䓖蕴苈薯蔼蔺萚蕲芦苏蕴苹藓蔹茏兰蓠萝蔂𬟁虚虏号亏虬蛱蜕蚬𬟽蚀猬虾虱蜗蛳蚂萤䗖蝼螀蛰蝈螨虮蝉蛲虫蛏蚁蝇虿蝎蛴蝾蚝蜡蛎蠹蟏"
-    "蛊蚕蛮众蔑术胡卫冲衮绔袅里补装里制复裈袆裤裢褛亵𫌀裥袯袄裣裆褴袜䙓衬袭襕核觃规觅视觇觋觍觎亲觊觏觐觑觉览觌观觞觯触讠订讣讯讧讨𬣙讦讱训讪讫托"
-    "讹讶讼䜣诀讷讻访诉诃诊证诂诋讵诈诒诏诐诇诎诅𬣞咏诩询诣诗𬣳诧诟诡诠诘诜𫍣诙诖诔诛诓夸志诳诶诞诱诮诚诫诬误诰诵诲说谇诽谊訚谄谆诿诤诹诼谅𬣡谂谀"
-    "谍谞谝𬤊谥诨谔谛谐谏谕谘讳𬤇谙𫍯谌讽诸谚谖诺谋谒谓誊诌谎谜𫍲谧谑谡谤谦谥讲谣谣谟谪谬谫讴谨谩哗䜧谲讥𬤝谮谯谭谱𫍽噪谵译议谴护诪誉谫变詟䜩雠谗"
-    "谰谶赞谠谳岂竖丰艳猪豮狸猫䝙贝贞贠负财贡贫货贩贪贯责贮贳赀贰贵贬买贷贶费贴贻贸贺贲赂赁贿赅资贾贼赈赊宾赇赒赉赐赏赔赓贤卖贱赋赕质赍账赌䞐赖赗"
-    "剩赚赙购赛赜贽赘赟赠赞赝赡赢赆赃赑赎赝赣赃赪赶赵趋趱迹交局践蜷逾踊跄跸迹蹒踪糟跷跶趸踌跻跃踯跞踬蹰跹蹑蹿躜躏躯轧轨军𫐄轪轩轫轭𬨂软轷轸轱轴轵"
-    "轺轲轶轼较𨐈辂辁辀载轾𪨶辄挽辅轻𫐐辆辎辉辋辍辊辇辈轮辌𫐓辑辏𬨎输辐辗舆辒毂辖辕辘转辙轿辚舆轰辔轹轳办辞辫辩农回迳周游遥逊递遁迟迁辽迈迩逻逦郏"
-    "郓邹邬郧邓𬩽郑郸𫑡邺郐邝酂郦腌酝丑酝酱酦𬪩宴衅酾酽厘钅钆钇钌钊钉钋针钓钐扣钏钒𬬩钗钍钕钎𬬱钯钫钘钭𫓧钚钠钝钩钤钣钑钞钮钧钙钬钛钪铌铈钶铃钴钹"
-    "铍钰钸铀钿钾钜铊铉𬬿铇铋铂钷钳铆铅𫟷钺钵钩𬬸钲𬭁鿭钼钽𬬹铏𫟹铰铒铬铪银铳铜𫓯铚铣铨铢铭铫铦衔铑铷铱铟铵铥铕铯铐铞焊锐𨱇销锈锑锉铝锒锌钡铤铗𬭎"
-    "锋𫓶铻锊锓铘锄锃锔锇铓铺锐铖锆锂铽锍锯𬬮𬬭锞锖锫锩铔锥锕锟锤锱铮锛𬭚锬锭锜𫓹锦锚锠锡锢错录锰表铼锝锨锪钔锴锳炼锅镀锷铡钖锻锽锸锲锘锹𬭤锾键锶"
-    "锗镁锿镅镑𬭩镕锁枪镉锤镈𨱏镃钨蓥镏铠铩锼镐镒镋镍镓鿔镌镎镞镟镆镙𬭬镠镝铿锵镗镘镛铲镖镂錾镚铧镤镪䥽𬭸锈铙𨱑𫔍铴𫔎𨱔镣铹镦镡镫镢镨锎锏镄𬭼镌镰"
-    "䦃镯镭镮铎铛𫟼镱铸鿭镬镔鉴鉴镲锧镴铄镳镥𬬻镧钥镵镶镊镩锣钻銮凿䦆闩闪闫闬闭闶闳闰闲闲闵闸阂关阁阀哄闺闽阃阆闾阅阊阉阎阏阍阈阌阒板暗闱𬮱阔阕阑"
-    "阇阗𫔶阘闿阖阙闯斗阚阓阐辟阛闼厄坂陉陕升陈堤陧𬮿陨𬯎𬯀隐陇隶只隽雏杂鸡离沾霡霁雳霭叇叆靓腼靥纼鼗巩绱鞒缰鞑鞯韦韧韨韩韪韬韫𮧵韭韵响顷顸顼颂𫠆"
-    "颀颃顽颁顿𬱖颇颌𬱟颉颐颏𫖯颒颊颋颕𫖳颔颈颓频颓颗额颚颜颙颛颜𫖮颡颠颟颢顾颤颥颦颅颞颧飐飑飒台刮飓飔飏飖飕飗飘飙飚饣饥饤饦饨饪饫饬饭饮饴饲饱饰"
-    "饳饺饸饼饷养饵饹饻饽馁饿馂饾𫗧肴馄馃饯馅糊糇饧喂馉馇馎饩馈馏馊馌馍馒馐馑馓馈馔饥饶飨𫗴餍馋馕驭冯驮驰驯驲𫘜驳𫘝𬳶驽驹𬳵驵驾骀驸驶驼驷骂骈𬳽骇"
-    "骃骆骎𬳿骏骋骍𫘧骓𫘦骔骒骑骐𬴂骛骗𬴃𫘨骙䯄骞骘骝腾𫘬𫘪驺骚骟骡蓦骜骖骠骢驱骅骕骁𬴊骣骄惊驿骤驴骧骥骦骊骉肮髅脏髌髋发剃松胡须鬓斗闹哄阋斗阄郁"
-    "鬶魉魇鱽鱾鲀鲁鲂鱿鲄𬶍鲅鲆𫚖𬶋鲌鲉鲏鲇鲐鲍鲋鲊鲒鲘鲞鲕𩽾𬶏𬶐䲟鲖鲔鲛鲑鲜鲓鲪𩾃鲝鲧鲠鲩鲤鲨鲬鲻鲯鲭鲷鲴鲱鲵鲲鲳鲸鲮鲰鲶鲺鳀𬶟鲫鳊鳈鲗鳂䲠鲽鳇"
-    "𬶠鳅鲾鳄鳆鳃鳒鳑鳋鲥𫚕鳏䲢鳎鳐鳍鳁鲢鳌鳓鳘𬶭鲦鲣鲹鳗鳛鳔𬶨鳉鳙𩾌鳕鳖鳟鳝鳜鳞鲟𬶮鲼鲎鲙鳣鳡鳢鲿鲚鳠𫚭鳄鲈鲡凫鸠凫鸤凤鸣鸢䴓鸩鸨鸦鸰鸵鸳鸲鸮鸱"
-    "鸪鸯鸭鸸鸹鸻䴕鸿鸽䴔鸺鸼𬷕鹀鹃鹆鹁鹈鹅𫛭鹄鹉鹌鹏鹐鹎鹊鹓鹍䴖鸫鹑鹒鹋鹙鹕鹗𬸘鹖鹛鹜䴗鸧莺𬸣鹟鹤鹠鹡鹘鹣鹚鹢鹞鸡䴘鹝鹧鹥鸥鸷鹨𬸦鸶鹪鹔𬸪鹩鹫鹇"
-    "鹬鹰鹭鸴䴙㶉鹯鹱鹲𬸚鸬鹴鹦鹳鹂鸾卤咸鹾碱盐丽粗麸曲麹面么么黉党黪霉黡黩黾鼋鳌鳖鼍冬鼹斋赍齑齿龀龁龂𬹼龅龇龃龆龄出龈啮咬龊龉𬺈𫠜龋腭龌𬺓厐庞䶮"
-    "龚龛"
-)
-
 
 def matches(text: Column, rules: Rules) -> Column:
     """Whether any rule holds for ``text``; constants fold, an empty table matches nothing."""

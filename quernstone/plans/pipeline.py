@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from quernstone.functions import html, render
 from quernstone.functions import text as T
-from quernstone.functions.rules import SIMPLIFIED_FULL, TRADITIONAL_FULL
+from quernstone.functions.script import simplification
 from quernstone.operators import dedup, pages, tokenize
 from quernstone.operators.minhash import LshConfig
 
@@ -18,8 +18,8 @@ class PipelineConfig:
     lsh: LshConfig = dedup.STAGE
     blocker: str = "chapter"
     only_popular: bool = False
-    #: Traditional characters and their simplified forms.
-    simplify: tuple[str, str] = (TRADITIONAL_FULL, SIMPLIFIED_FULL)
+    #: Traditional characters and their simplified forms; None stands for all that ICU knows.
+    simplify: tuple[str, str] | None = None
 
 
 def corpus(wiki: DataFrame, config: PipelineConfig = PipelineConfig(), views: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
@@ -30,7 +30,7 @@ def corpus(wiki: DataFrame, config: PipelineConfig = PipelineConfig(), views: Da
             raise ValueError("popular pages need a table of views")
         kept = pages.popular(kept, views)
     rendered = pages.cleaned(kept).select("title", render.html_column("text").alias("html"))
-    return rendered.select(T.file_name("title").alias("file_name"), T.simplified(html.markdown_column("html"), config.simplify).alias("text"))
+    return rendered.select(T.file_name("title").alias("file_name"), T.simplified(html.markdown_column("html"), config.simplify or simplification(wiki.sparkSession)).alias("text"))
 
 
 def training_tokens(files: DataFrame, tokenizer: tokenize.TokenizerConfig, config: PipelineConfig = PipelineConfig()) -> DataFrame:
