@@ -6,6 +6,7 @@ Page views belong into a table that is joined; these functions fill it. ``fetch`
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.error import HTTPError
 from urllib.parse import quote, urlencode
 from urllib.request import Request, urlopen
 
@@ -17,13 +18,19 @@ from quernstone.operators.messages import parsed_page, response_views
 from quernstone.streaming.retry import Backoff
 
 Fetch = Callable[[str, bytes | None], str]
-HTTP_OK = 200
+HTTP_OK, TOO_MANY, SERVER_ERRORS = 200, 429, 500
 
 
 def http_fetch(url: str, data: bytes | None = None, timeout: float = 30.0) -> str:
-    """Body of an answer; any status but 200 gives an empty body."""
-    with urlopen(Request(url, data=data, headers={"User-Agent": "quernstone"}), timeout=timeout) as answer:
-        return answer.read().decode("utf-8") if answer.status == HTTP_OK else ""
+    """Body of an answer; any status but 200 gives an empty body. A service that is busy or broken (429, 5xx) is a network error."""
+    try:
+        with urlopen(Request(url, data=data, headers={"User-Agent": "quernstone"}), timeout=timeout) as answer:
+            return answer.read().decode("utf-8") if answer.status == HTTP_OK else ""
+    except HTTPError as error:
+        with error:
+            if error.code == TOO_MANY or error.code >= SERVER_ERRORS:
+                raise ConnectionError(f"status {error.code}") from error
+            return ""
 
 
 def fetched(df: DataFrame, key: str, request: Callable[[dict], tuple[str, bytes | None]], fetch: Fetch = http_fetch, backoff: Backoff = Backoff()) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 from typing import TypeVar
 
 R = TypeVar("R")
@@ -43,8 +44,12 @@ class Backoff:
         raise ValueError("a call needs at least one attempt")
 
 
-#: Backoffs by name.
-BACKOFFS: dict[str, Callable[..., Backoff]] = {"exponential": Backoff, "network": Backoff}
+def _always(error: BaseException) -> bool:
+    return isinstance(error, Exception)
+
+
+#: Backoffs by name: one that repeats after any error, and one that repeats after errors of the network only.
+BACKOFFS: dict[str, Callable[..., Backoff]] = {"exponential": partial(Backoff, retries=_always), "network": Backoff}
 
 
 def backoff(name: str, **options) -> Backoff:

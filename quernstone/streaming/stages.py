@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from quernstone.functions import html, render
 from quernstone.functions import text as T
-from quernstone.functions.rules import SIMPLIFIED_FULL, TRADITIONAL_FULL
+from quernstone.functions.script import simplification
 from quernstone.operators import pages as P
 from quernstone.plans.lineage import own_folder
 from quernstone.sources.streams import FolderTopic, KafkaTopic, as_messages, as_pages
@@ -40,26 +41,62 @@ class Stage:
 def run_chain(spark: SparkSession, stages: list[Stage]) -> list[dict]:
     """The stages one after another, each over all that its topic holds; returns rows taken in by each."""
     done = []
-    for stage in stages:
-        query = stage.start(spark)
-        query.awaitTermination()
-        done.append({"stage": stage.name, "rows": sum(p["numInputRows"] for p in query.recentProgress)})
+    counted = _Rows()
+    spark.streams.addListener(counted)
+    try:
+        for stage in stages:
+            query = stage.start(spark)
+            query.awaitTermination()
+            done.append({"stage": stage.name, "rows": counted.of(str(query.runId))})
+    finally:
+        spark.streams.removeListener(counted)
     return done
 
 
+class _Rows(StreamingQueryListener):
+    """Adds up what every run takes in (a query itself remembers its last micro-batches only)."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ended: set[str] = set()
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        with self.changed:
+            run = str(event.progress.runId)
+            self.rows[run] = self.rows.get(run, 0) + event.progress.numInputRows
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def of(self, run: str, patience: float = 60.0) -> int:
+        """Rows of a run that has ended; its last event comes after its progress."""
+        with self.changed:
+            self.changed.wait_for(lambda: run in self.ended, patience)
+            return self.rows.get(run, 0)
+
+
 def render_locally(pages: DataFrame) -> DataFrame:
     return pages.select("title", render.html_column("text").alias("text"))
 
 
-def markdown(pages: DataFrame, simplify: tuple[str, str] = (TRADITIONAL_FULL, SIMPLIFIED_FULL)) -> DataFrame:
-    return pages.select("title", T.simplified(html.markdown_column("text"), simplify).alias("text"))
+def markdown(pages: DataFrame, simplify: tuple[str, str] | None = None) -> DataFrame:
+    return pages.select("title", T.simplified(html.markdown_column("text"), simplify or simplification(pages.sparkSession)).alias("text"))
 
 
 def clean_wikitext(pages: DataFrame) -> DataFrame:
     return P.cleaned(P.articles(pages))
 
 
-def wiki_chain(root: str, first: Topic, most: int = 100, simplify: tuple[str, str] = (TRADITIONAL_FULL, SIMPLIFIED_FULL)) -> tuple[list[Stage], FolderTopic]:
+def wiki_chain(root: str, first: Topic, most: int = 100, simplify: tuple[str, str] | None = None) -> tuple[list[Stage], FolderTopic]:
     """Wikitext -> clean wikitext -> HTML -> Markdown in simplified characters on folders below ``root``; the last topic holds the result."""
     topics = [first, *(FolderTopic(f"{root}/{name}", most) for name in ("wikitext", "html", "markdown"))]
     steps: list[Transform] = [clean_wikitext, render_locally, partial(markdown, simplify=simplify)]

@@ -127,3 +127,73 @@ def test_kafka_needs_its_connector(spark):
     topic = KafkaTopic("localhost:9092", "t")
     with pytest.raises(Exception, match="(?i)kafka"):
         topic.read(spark)
+
+
+def test_files_of_one_name_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "file_name string, text string")
+    with pytest.raises(ValueError, match="one file name"):
+        sinks.write_files(rows, f"{tmp_path}/out")
+    assert not os.path.exists(f"{tmp_path}/out")
+
+
+def test_unknown_file_systems_raise(spark):
+    with pytest.raises(Exception, match="(?i)scheme|filesystem|recogni"):
+        sinks.write_files(spark.createDataFrame([("a", "x")], "file_name string, text string"), "nowhere://host/out")
+    assert not os.path.exists("nowhere:")
+
+
+def test_http_statuses():
+    """A page that isn't there has an empty body at once; a busy service is a network error, which is tried again."""
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(int(self.path[1:4]))
+            self.end_headers()
+            self.wfile.write(b"body")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    at, waits = f"http://127.0.0.1:{server.server_port}", []
+    try:
+        again = retry.Backoff(attempts=3, sleep=waits.append)
+        assert again.call(lambda: web.http_fetch(f"{at}/200")) == "body"
+        assert again.call(lambda: web.http_fetch(f"{at}/404")) == "" and not waits
+        for busy in (429, 503):
+            waits.clear()
+            with pytest.raises(ConnectionError):
+                again.call(lambda busy=busy: web.http_fetch(f"{at}/{busy}"))
+            assert waits == [2, 4]
+    finally:
+        server.shutdown()
+
+
+def test_backoffs_by_name_differ():
+    waits = []
+    for name, tries in (("exponential", 2), ("network", 1)):
+        calls = []
+
+        def call(calls=calls):
+            calls.append(1)
+            raise KeyError
+
+        with pytest.raises(KeyError):
+            retry.backoff(name, attempts=2, sleep=waits.append).call(call)
+        assert len(calls) == tries
+
+
+def test_a_chain_counts_rows_of_many_batches(spark, tmp_path):
+    """A query remembers its last micro-batches only; all of them are counted."""
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        first, last = FolderTopic(f"{tmp_path}/a", most=1), FolderTopic(f"{tmp_path}/b")
+        for k in range(6):
+            first.write(as_messages(spark.createDataFrame([(f"t{k}", "x")], "title string, text string").coalesce(1)))
+        stage = stages.Stage("copy", first, last, lambda pages: pages, f"{tmp_path}/positions")
+        assert stages.run_chain(spark, [stage]) == [{"stage": "copy", "rows": 6}]
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
