@@ -46,25 +46,35 @@ def shift_increments(k: int, seed: int) -> list[int]:
     return out
 
 
-def murmur3_32(data: bytes, seed: int) -> int:
-    """MurmurHash3 x86 32-bit of ``data`` as a signed int."""
-    h, mask = seed & 0xFFFFFFFF, 0xFFFFFFFF
-
-    def scrambled(k: int) -> int:
-        k = k * 0xCC9E2D51 & mask
-        return ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
-
-    whole = len(data) & ~3
-    for i in range(0, whole, 4):
-        h ^= scrambled(int.from_bytes(data[i : i + 4], "little"))
-        h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
-    if whole < len(data):
-        h ^= scrambled(int.from_bytes(data[whole:], "little"))
-    h ^= len(data)
-    h = (h ^ h >> 16) * 0x85EBCA6B & mask
-    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint32(bits) | x >> np.uint32(32 - bits)
+
+
+def murmur3_32(items: list[bytes], seed: int) -> np.ndarray:
+    """MurmurHash3 x86 32-bit of each item as a signed int; word k of all items that have one is mixed at once."""
+    sizes = np.fromiter(map(len, items), dtype=np.int64, count=len(items))
+    order = np.argsort(-sizes, kind="stable")  # items that still have words come first
+    words = -(-sizes[order] // 4)
+    width = int(words.max(initial=0)) * 4
+    held = np.zeros((len(items), width), dtype=np.uint8)
+    held[np.arange(width) < sizes[order, None]] = np.frombuffer(b"".join(items[i] for i in order), dtype=np.uint8)
+    grid = held.view("<u4")
+    h = np.full(len(items), seed & 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(width // 4):
+        n = int(np.searchsorted(-words, -k, side="left"))
+        whole = sizes[order[:n]] >= 4 * (k + 1)
+        mixed = h[:n] ^ _rotated(grid[:n, k] * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h[:n] = np.where(whole, _rotated(mixed, 13) * np.uint32(5) + np.uint32(0xE6546B64), mixed)
+    h ^= sizes[order].astype(np.uint32)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    out = np.empty(len(items), dtype=np.int32)
+    out[order] = (h ^ h >> np.uint32(16)).view(np.int32)
+    return out
+
+
+#: Items that are hashed at once.
+MOST_ITEMS = 1 << 16
 
 
 def murmur3_signature(shingles: Column | str, p: int = 4, seed: int = 1) -> Column:
@@ -77,13 +87,12 @@ def murmur3_signature(shingles: Column | str, p: int = 4, seed: int = 1) -> Colu
 
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
+            lists = [[x.encode("utf-8") for x in set(items or ())] for items in batch.to_pylist()]
+            every = [x for items in lists for x in items]
+            hashed = np.concatenate([np.zeros(0, np.int32), *(murmur3_32(every[i : i + MOST_ITEMS], seed) for i in range(0, len(every), MOST_ITEMS))])
             out: list[list[int] | None] = []
-            for items in batch.to_pylist():
-                if not items:
-                    out.append(None)
-                    continue
-                hashed = np.array([murmur3_32(x.encode("utf-8"), seed) for x in set(items)], dtype=np.int64)
-                out.append(np.fmod(hashed[:, None] + increments, PRIME).min(axis=0).tolist())
+            for own in np.split(hashed.astype(np.int64), np.cumsum([len(x) for x in lists])[:-1]):
+                out.append(np.fmod(own[:, None] + increments, PRIME).min(axis=0).tolist() if len(own) else None)
             yield pa.array(out, pa.list_(pa.int64()))
 
     sign.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -21,7 +21,10 @@ BLOCKS = frozenset("address article aside blockquote details div dl fieldset fig
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset({"ul", "ol", "dl", "table", "select", "body", "html", "#root"})
 FORMATS = frozenset({"b", "i", "code", "em", "strong", "a", "span", "small", "u", "s"})
-MARKS = {"b": "**", "i": "*", "code": "`", "syntaxhighlight": "```"}
+MARKS = {"b": "**", "i": "*", "code": "`"}
+CODE = frozenset({"pre", "syntaxhighlight"})
+#: No page holds these; they are our marks.
+NO_MARKS = {0: None, 1: None}
 
 
 @dataclass
@@ -99,10 +102,28 @@ def plain(node: Node) -> str:
         elif child.tag == "br":
             parts.append(" ")
         elif child.tag not in ("ul", "ol") and not dropped(child):
-            parts.append(plain(child))
+            text = plain(child)
+            parts.append(marked(MARKS[child.tag], text) if child.tag in MARKS and child.tag not in CODE else text)
     return joined(parts)
 
 
+def marked(mark: str, text: str) -> str:
+    """The text between marks, blanks at its ends outside of them."""
+    bare = text.strip()
+    return text.replace(bare, f"{mark}{bare}{mark}", 1) if bare else text
+
+
+def raw(node: Node) -> str:
+    """The text of a node with its white space."""
+    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else raw(c) for c in node.children)
+
+
+def code_block(node: Node) -> str:
+    """Lines of code between fences; lines and blanks stay as they are."""
+    lines = raw(node).strip("\n").expandtabs(4).split("\n")
+    return "".join("\0" + line.replace(" ", "\x01") for line in ("```", *lines, "```")) + "\0"
+
+
 def lists(node: Node, depth: int = 0) -> list[str]:
     """Lines of a list: ``- x`` or ``n. x``, four blanks for each level; an item's own text comes before its sublists."""
     lines, number = [], 0
@@ -120,7 +141,9 @@ def lists(node: Node, depth: int = 0) -> list[str]:
 
 
 def rendered(node: Node) -> str:
-    """Markdown of a node; NUL stands for a line break."""
+    """Markdown of a node; NUL stands for a line break, U+0001 for a blank that stays."""
+    if node.tag in CODE:
+        return code_block(node) if raw(node).strip() else ""
     if node.tag in ("ul", "ol"):
         return "".join("\0" + line.replace(" ", "\x01") for line in lists(node)) + "\0"
     parts = []
@@ -133,8 +156,7 @@ def rendered(node: Node) -> str:
             parts.append(rendered(child))
     content = joined(parts)
     if node.tag in MARKS:
-        mark = MARKS[node.tag]
-        return f"{mark}{content.strip()}{mark}" if content.strip() else content
+        return marked(MARKS[node.tag], content)
     if re.fullmatch(r"h\d", node.tag):
         return f"\0\0{'#' * int(node.tag[1])} {content.strip()}\0"
     if node.tag in ("section", "p"):
@@ -143,7 +165,7 @@ def rendered(node: Node) -> str:
 
 
 def to_markdown(page: str) -> str:
-    lines = rendered(parsed(page)).split("\0")
+    lines = rendered(parsed(page.translate(NO_MARKS))).split("\0")
     return "\n".join(line.strip(" ").replace("\x01", " ") for line in lines)
 
 

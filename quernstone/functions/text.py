@@ -9,8 +9,6 @@ from quernstone.functions.rules import SIMPLIFIED, TRADITIONAL
 
 #: A gram: a run of ASCII letters and digits, or any other character that is not white space.
 GRAM = r"[A-Za-z0-9]+|[^A-Za-z0-9\p{IsWhite_Space}]"
-#: Marks the start of a chapter while a text is split; it occurs in no clean text.
-MARK = "\u0001"
 
 
 def _col(c: Column | str) -> Column:
@@ -41,7 +39,10 @@ def shingles(grams_: Column | str, k: int) -> Column:
 
 def chapter_blocks(text: Column | str) -> Column:
     """The text cut before each run of two or more ``#``; what stands before the first run is the first block."""
-    return F.split(F.regexp_replace(_col(text), r"(##+)", MARK + "$1"), MARK, -1)
+    text = _col(text)
+    parts = F.split(text, "(?<!#)(?=##)", -1)
+    # No split has an empty part before a place without width.
+    return F.when(text.startswith("##"), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
 
 
 def length_blocks(text: Column | str, size: int = 1000) -> Column:
@@ -79,7 +80,7 @@ def is_redirect(text: Column | str) -> Column:
 def without_refs_and_comments(text: Column | str, single_line_comments: bool = False) -> Column:
     """The wikitext without comments and references.
 
-    With ``single_line_comments`` the pattern works in one pass as it was first published: comments that span lines stay, and
+    With ``single_line_comments`` the pattern (a fixed value) works in one pass as it was first published: comments that span lines stay, and
     a self-closing reference swallows what follows up to the next end tag.
     """
     text = _col(text)
@@ -116,7 +117,7 @@ def without_edit_links(text: Column | str) -> Column:
 
 def without_empty_chapters(markdown: Column | str) -> Column:
     """Markdown without the headings (of two or more ``#``) that no text follows before the next heading."""
-    parts = F.split(F.regexp_replace(_col(markdown), r"(?m)(^##+ [^\n]*(?:\n|\z))", f"{MARK}$1"), MARK, -1)
+    parts = F.split(_col(markdown), r"(?m)(?=^##+ [^\n]*(?:\n|\z))", -1)
     full = F.filter(parts, lambda p: F.length(F.trim(F.regexp_replace(p, r"(?m)^##+ [^\n]*(?:\n|\z)|\s", ""))) > 0)
     return F.array_join(full, "")
 

@@ -13,8 +13,11 @@ from pyspark.sql import Column
 from quernstone.functions.arrow import string_column
 from quernstone.functions.rules import FIRST_TEMPLATES_KEPT, LINKS_DROPPED, SECTIONS_DROPPED, SIMPLIFIED, TEMPLATES_DROPPED, TRADITIONAL, predicate
 
+# Fixed value: the brackets of wikitext.
 BRACKET = re.compile(r"\[\[|\]\]|\{\{|\}\}")
-HEADING = re.compile(r"=(=+)([^=]*?)=+=")
+#: A heading is a line of its own; its level is the number of its signs.
+HEADING_LINE = r"(?m)^(={2,6})([^=\n]+)={2,6}[^\S\n]*$"
+HEADING = re.compile(HEADING_LINE)
 TO_SIMPLIFIED = str.maketrans(TRADITIONAL, SIMPLIFIED)
 
 drops_template = predicate(TEMPLATES_DROPPED)
@@ -95,27 +98,39 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def without_templates(text: str) -> str:
     """The text without dropped templates and links; lines of which nothing is left go with them."""
-    keep, at, touched = [], 0, merged(dropped_ranges(text))
+    touched = merged(dropped_ranges(text))
+    if not touched:
+        return text
+    keep, at, mark = [], 0, next(c for c in map(chr, range(0xE000, 0xF900)) if c not in text)
     for start, end in touched:
-        keep.append(text[at:start] + "\0")
+        keep.append(text[at:start] + mark)
         at = end
     lines = ("".join(keep) + text[at:]).split("\n")
-    return "\n".join(line.replace("\0", "") for line in lines if "\0" not in line or line.replace("\0", "").strip())
+    return "\n".join(line.replace(mark, "") for line in lines if mark not in line or line.replace(mark, "").strip())
 
 
-def kept_sections(text: str) -> str:
+def kept_sections(text: str, nested: bool = True) -> str:
     """The text without sections that are empty or whose title the rules drop.
 
-    The text before the first heading counts as a section without title. A section reaches to the next heading of any
-    level, so dropping one leaves its subsections.
+    The text before the first heading counts as a section without title. A dropped section takes its subsections along, and a
+    section without text of its own stays where one of its subsections does. Without ``nested`` every section is judged by itself.
     """
-    marks = [(m.start(), m.end(), m[2]) for m in HEADING.finditer(text)]
-    starts = [(0, 0, "")] + marks
-    out = []
-    for (start, body, title), following in zip(starts, [*marks, (len(text), len(text), "")]):
-        if text[body : following[0]].strip() and not drops_section(title.strip().translate(TO_SIMPLIFIED)):
-            out.append(text[start : following[0]])
-    return "".join(out)
+    marks = [(m.start(), m.end(), len(m[1]), m[2]) for m in HEADING.finditer(text)]
+    starts, ends = [(0, 0, 0, ""), *marks], [*(m[0] for m in marks), len(text)]
+    keep = [bool(text[body:end].strip()) and not drops_section(title.strip().translate(TO_SIMPLIFIED)) for (_, body, _, title), end in zip(starts, ends)]
+    if nested:
+        dropping = 7
+        for k, (_, _, level, title) in enumerate(starts):
+            dropping = dropping if level > dropping else 7
+            if dropping == 7 and drops_section(title.strip().translate(TO_SIMPLIFIED)):
+                dropping = level
+            keep[k] &= dropping == 7
+        needed = 0  # the level whose parents are needed by a kept section further down
+        for k in range(len(starts) - 1, 0, -1):
+            level = starts[k][2]
+            keep[k] |= level < needed
+            needed = level if keep[k] else min(needed, level)
+    return "".join(text[start[0] : end] for start, end, kept in zip(starts, ends, keep) if kept)
 
 
 def cleaned(text: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quernstone.functions import hashing, html, render, wikitext
 from quernstone.functions import text as T
 from quernstone.functions.rules import SECTIONS_DROPPED, SIMPLIFIED, TRADITIONAL, matches, predicate
+from quernstone.functions.script import BY_PHRASE, simplification
 
 
 @pytest.mark.parametrize(
@@ -38,14 +39,17 @@ def test_shingles(one):
 
 def test_hashes():
     assert hashing.shift_increments(4, 1) == [1569548985, 215764588, 880641847, 874970313]
-    assert hashing.murmur3_32(b"hello", 42) == -488910111
+    assert hashing.murmur3_32([b"hello"], 42).tolist() == [-488910111]
+    assert hashing.murmur3_32([], 1).tolist() == [] and hashing.murmur3_32([b""], 0).tolist() == [0]
+    items = [b"abcdefghijklm"[:n] for n in range(14)]
+    assert hashing.murmur3_32(items, 3).tolist() == [int(hashing.murmur3_32([x], 3)[0]) for x in items]
     assert len(set(hashing.coefficients(9))) == 9
 
 
 def test_shift_signature_keeps_the_sign(spark):
     df = spark.createDataFrame([(["a b c"],), ([],), (None,)], "g array<string>")
     rows = [r[0] for r in df.select(hashing.murmur3_signature("g")).collect()]
-    h = hashing.murmur3_32(b"a b c", 1)
+    h = int(hashing.murmur3_32([b"a b c"], 1)[0])
     assert rows[1:] == [None, None]
     assert rows[0] == [int((abs(h + b) % hashing.PRIME) * (1 if h + b >= 0 else -1)) for b in hashing.shift_increments(4, 1)]
 
@@ -97,7 +101,7 @@ def test_templates():
 
 def test_sections():
     text = "== A ==\n=== B ===\nb\n== C ==\nc\n== 參考文獻 ==\nr"
-    assert wikitext.kept_sections(text) == "=== B ===\nb\n== C ==\nc\n"
+    assert wikitext.kept_sections(text) == "== A ==\n=== B ===\nb\n== C ==\nc\n"
     assert wikitext.kept_sections("lead\n== A ==\n") == "lead\n"
 
 
@@ -148,3 +152,31 @@ def test_html_any_text(page):
 def test_render():
     page = render.to_html("== H ==\n* a\n** b\n* c\n'''x''' [[l|m]]\n\ny {{t|{{u}}}}")
     assert html.to_markdown(page).split() == "## H - a - b - c **x** m y".split()
+
+
+def test_sections_cascade():
+    """A dropped section takes its subsections along; a section without text of its own stays for a subsection."""
+    text = "lead\n== 参考 ==\nx\n=== 脚注 ===\ny\n== 历史 ==\n=== 古代 ===\n==== 早期 ====\nz\n=== 空 ===\n\n== 參見 ==\nq\n== 后 ==\nw"
+    assert wikitext.kept_sections(text) == "lead\n== 历史 ==\n=== 古代 ===\n==== 早期 ====\nz\n== 后 ==\nw"
+    assert wikitext.kept_sections(text, nested=False) == "lead\n=== 脚注 ===\ny\n==== 早期 ====\nz\n== 后 ==\nw"
+    assert wikitext.kept_sections("a == b == c\n== d ==\n") == "a == b == c\n"
+
+
+def test_code_keeps_its_lines():
+    assert html.to_markdown("<p>x <b>y</b></p><pre>a\n  b\n\nd</pre><p>z</p>").strip("\n") == "x **y**\n\n```\na\n  b\n\nd\n```\n\nz"
+    assert html.to_markdown("<ul><li>i <b>k</b> <code>m</code><ul><li><i>n</i></li></ul></li></ul>").strip("\n") == "- i **k** `m`\n    - *n*"
+    assert html.to_markdown("a\0b\x01c") == "abc"
+
+
+def test_control_characters_cut_nothing(one):
+    assert one(T.chapter_blocks, "a\x01b##c\x01#d") == ["a\x01b", "##c\x01#d"]
+    assert one(T.chapter_blocks, "## a\n### b") == ["", "## a\n", "### b"] and one(T.chapter_blocks, "") == [""]
+    assert one(T.without_empty_chapters, "a\x01\n## b\n## c\nd\x01e\n") == "a\x01\n## c\nd\x01e\n"
+    assert wikitext.without_templates("a\0\n{{cite x}}\nb") == "a\0\nb"
+
+
+def test_all_traditional_characters(spark, one):
+    old, new = simplification(spark)
+    assert len(old) == len(new) == len(set(old)) > 3000 and not set(BY_PHRASE) & set(old)
+    assert one(lambda c: T.simplified(c, (old, new)), "臺灣的電腦軟體，歷史與圖書館") == "台湾的电脑软体，历史与图书馆"
+    assert {old[new.index(b)] for b in "历"} and all(dict(zip(old, new))[a] == b for a, b in zip(TRADITIONAL, SIMPLIFIED))
