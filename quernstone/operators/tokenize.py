@@ -63,6 +63,17 @@ def _encoder(path: str):
     return lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+@lru_cache(maxsize=4)
+def _decoder(path: str):
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).decode
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).decode_batch
+
+
 def encoded(texts: list[str], config: TokenizerConfig) -> list[list[int]]:
     """Ids of each text."""
     encode = _encoder(config.path)
@@ -98,6 +109,19 @@ def token_column(text: Column | str, config: TokenizerConfig) -> Column:
     return F.arrow_udf(run, "array<int>")(text)
 
 
+def text_column(ids: Column | str, config: TokenizerConfig) -> Column:
+    """The text of a column of ids, without markers; null and empty lists give an empty text."""
+    markers = {i for _, i in config.markers}
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decode = _decoder(config.path)
+        for batch in batches:
+            yield pa.array(decode([[i for i in x or () if i not in markers] for x in batch.to_pylist()]), pa.string())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "string")(ids)
+
+
 def tokenized_blocks(files: DataFrame, config: TokenizerConfig, blocker: str = "chapter") -> DataFrame:
     """(block_id, tokens) of every block of the files."""
     return explode_blocks(files, blocker=blocker).select("block_id", token_column("text", config).alias("tokens"))

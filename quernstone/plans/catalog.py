@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from quernstone.functions import hashing, html, render, wikitext
 from quernstone.functions import text as T
-from quernstone.functions.rules import CONTAINS, EQUALS, SECTIONS_DROPPED, SIMPLIFIED, TRADITIONAL, matches
+from quernstone.functions.rules import SECTIONS_DROPPED, matches
+from quernstone.functions.script import simplification
 from quernstone.operators import blocks as B
 from quernstone.operators import dedup, messages, minhash, pages, tokenize
 from quernstone.plans import pipeline
@@ -43,7 +44,7 @@ def rows(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFram
 
 _FILES = "files AS MATERIALIZED (SELECT DISTINCT file_name, text FROM corpus_files WHERE text IS NOT NULL)"
 _CHAPTERS = rf"""{_FILES}, cut AS MATERIALIZED (
-    SELECT file_name, string_split(regexp_replace(text, '(##+)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM files
+    SELECT file_name, string_split(regexp_replace(text, '(##+)', chr(1) || chr(2) || '\1', 'g'), chr(1) || chr(2)) AS parts FROM files
 ), chapters AS MATERIALIZED (
     SELECT file_name, unnest(range(len(parts))) AS seq, unnest(parts) AS text FROM cut
 )"""
@@ -174,7 +175,37 @@ def minhash_signature(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.signatures(_shingled(spark, folder), LSH)
 
 
-@query()
+def _murmur_sql(seed: int = 1) -> str:
+    """MurmurHash3 of every shingle by integer arithmetic: bytes as hexadecimal digits, four at a time, the last ones first."""
+    low = "4294967295::UBIGINT"
+
+    def turned(x: str, bits: int) -> str:
+        return f"(((({x}) << {bits}) | (({x}) >> {32 - bits})) & {low})"
+
+    def scrambled(k: str) -> str:
+        return f"({turned(f'({k}) * 3432918353::UBIGINT & {low}', 15)} * 461845907::UBIGINT & {low})"
+
+    word = "('0x' || array_to_string(list_reverse(list_transform(range(len(w) // 2), lambda j: w[2 * j + 1:2 * j + 2])), ''))::UBIGINT"
+    step = f"({turned('xor(h, k)', 13)} * 5 + 3864292196::UBIGINT) & {low}"
+    return f"""
+    bytes AS MATERIALIZED (SELECT block_id, hex(encode(g)) AS x FROM (SELECT DISTINCT block_id, unnest(ngrams) AS g FROM shingled)),
+    cut AS MATERIALIZED (SELECT block_id, x, list_transform(range((len(x) + 7) // 8), lambda i: x[8 * i + 1:8 * i + 8]) AS ws FROM bytes),
+    words AS MATERIALIZED (SELECT block_id, x, list_transform(ws, lambda w: {word}) AS ks FROM cut),
+    scrambled AS MATERIALIZED (SELECT block_id, len(x) // 2 AS size, list_transform(ks, lambda k: {scrambled('k')}) AS ks FROM words),
+    body AS MATERIALIZED (
+        SELECT block_id, size, list_reduce(ks[:size // 4], lambda h, k: {step}, {seed}::UBIGINT) AS h, CASE WHEN size % 4 > 0 THEN ks[-1] ELSE 0::UBIGINT END AS rest FROM scrambled
+    ),
+    mixed1 AS MATERIALIZED (SELECT block_id, xor(xor(h, rest), size::UBIGINT) AS h FROM body),
+    mixed2 AS MATERIALIZED (SELECT block_id, xor(h, h >> 16) * 2246822507::UBIGINT & {low} AS h FROM mixed1),
+    mixed3 AS MATERIALIZED (SELECT block_id, xor(h, h >> 13) * 3266489909::UBIGINT & {low} AS h FROM mixed2),
+    hashed AS MATERIALIZED (SELECT block_id, xor(h, h >> 16)::BIGINT AS u FROM mixed3),
+    signed_hash AS MATERIALIZED (SELECT block_id, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS h FROM hashed)"""
+
+
+_SHIFTED = ", ".join(f"min((h + {b}) % {hashing.PRIME})" for b in hashing.shift_increments(4, 1))
+
+
+@query(f"WITH {_REPRESENTATIVES}, {_murmur_sql()} SELECT block_id, [{_SHIFTED}] AS signature FROM signed_hash GROUP BY block_id")
 def murmur_signature(spark: SparkSession, folder: str) -> DataFrame:
     """Signatures of the shift family."""
     return _shingled(spark, folder).select("block_id", hashing.murmur3_signature("ngrams").alias("signature"))
@@ -348,26 +379,45 @@ def wikitext_clean(spark: SparkSession, folder: str) -> DataFrame:
     return pages.cleaned(pages.articles(_pages(spark, folder)))
 
 
-_SECTION_TESTS = " OR ".join(
-    f"t {'=' if kind == EQUALS else 'LIKE'} '{'%' if kind == CONTAINS else ''}{word}{'%' if kind == CONTAINS else ''}'" for word, kind in SECTIONS_DROPPED
-)
+#: The rules for section titles, written out for both scripts.
+_DROPPED_TITLES = "[參参][見见]|[參参]考|[參参][閱阅]|[鏈链]接|[連连]接|[連连][結结]|引用|[註注][釋释]", "[參参]看|另[見见]|[擴扩]展[閱阅][讀读]|延伸[閱阅][讀读]"
 
 
 @query(rf"""
-    WITH {_PAGES}, heads AS (SELECT page_id, unnest(regexp_extract_all(text, '=(=+)([^=]*?)=+=', 2)) AS title FROM pages),
-    plain AS (SELECT page_id, title, translate(regexp_replace(title, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'), '{TRADITIONAL}', '{SIMPLIFIED}') AS t FROM heads)
-    SELECT page_id, title, t AS simplified_title, ({_SECTION_TESTS}) AS dropped FROM plain
+    WITH {_PAGES}, heads AS (SELECT page_id, unnest(regexp_extract_all(text, '{wikitext.HEADING_LINE}', 2)) AS title FROM pages),
+    plain AS (SELECT page_id, title, regexp_replace(title, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') AS t FROM heads)
+    SELECT page_id, title, regexp_matches(t, '{_DROPPED_TITLES[0]}') OR regexp_full_match(t, '{_DROPPED_TITLES[1]}') AS dropped FROM plain
 """)
 def section_title_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Section titles of every page, and whether the rules drop the section."""
-    heads = _pages(spark, folder).select("page_id", F.explode(F.regexp_extract_all("text", F.lit("=(=+)([^=]*?)=+="), F.lit(2))).alias("title"))
-    named = heads.withColumn("simplified_title", T.simplified(T.stripped("title")))
-    return named.withColumn("dropped", matches(F.col("simplified_title"), SECTIONS_DROPPED))
+    heads = _pages(spark, folder).select("page_id", F.explode(F.regexp_extract_all("text", F.lit(wikitext.HEADING_LINE), F.lit(2))).alias("title"))
+    return heads.withColumn("dropped", matches(T.simplified(T.stripped("title")), SECTIONS_DROPPED))
 
 
-@query(f"SELECT doc_id, translate(text, '{TRADITIONAL}', '{SIMPLIFIED}') AS text FROM documents")
+@query()
 def simplified_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", T.simplified("text").alias("text"))
+    """Documents in simplified characters."""
+    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", T.simplified("text", simplification(spark)).alias("text"))
+
+
+#: Words in both scripts, typed by hand, to check the conversion.
+WORDS = (
+    ("歷史", "历史"), ("國家", "国家"), ("學校", "学校"), ("時間", "时间"), ("語言", "语言"), ("經濟", "经济"), ("後來", "后来"), ("這裡", "这里"), ("開始", "开始"), ("發現", "发现"),
+    ("當時", "当时"), ("居民", "居民"), ("傳統", "传统"), ("建築", "建筑"), ("臺灣", "台湾"), ("電腦", "电脑"), ("軟體", "软体"), ("鐵路", "铁路"), ("機構", "机构"), ("記載", "记载"),
+    ("倉庫", "仓库"), ("戰爭", "战争"), ("書籍", "书籍"), ("圖書館", "图书馆"), ("醫院", "医院"), ("參見", "参见"), ("產業", "产业"), ("變化", "变化"), ("村莊", "村庄"), ("廣場", "广场"),
+)
+
+
+def _either(old: str, new: str) -> str:
+    """A pattern of the word in either script, or in both mixed."""
+    return "".join(a if a == b else f"[{a}{b}]" for a, b in zip(old, new))
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{b}' AS word, len(regexp_extract_all(text, '{_either(a, b)}')) AS found FROM documents WHERE regexp_matches(text, '{_either(a, b)}')" for a, b in WORDS))
+def simplified_words(spark: SparkSession, folder: str) -> DataFrame:
+    """How often well-known words stand in the documents once they are in simplified characters, whatever they were written in."""
+    found = F.array(*[F.struct(F.lit(new).alias("word"), F.expr(f"(length(text) - length(replace(text, '{new}', ''))) div {len(new)}").alias("found")) for _, new in WORDS])
+    return simplified_text(spark, folder).select("doc_id", F.explode(found).alias("w")).select("doc_id", "w.*").where("found > 0")
 
 
 # HTML and Markdown.
@@ -398,7 +448,7 @@ def markdown_squeeze(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(rf"""
-    WITH {_FILES}, cut AS (SELECT file_name, string_split(regexp_replace(text, '(?m)(^##+ [^\n]*(?:\n|\z))', chr(1) || '\1', 'g'), chr(1)) AS parts FROM files)
+    WITH {_FILES}, cut AS (SELECT file_name, string_split(regexp_replace(text, '(?m)(^##+ [^\n]*(?:\n|\z))', chr(1) || chr(2) || '\1', 'g'), chr(1) || chr(2)) AS parts FROM files)
     SELECT file_name, array_to_string(list_filter(parts, lambda p: length(regexp_replace(p, '(?m)^##+ [^\n]*(?:\n|\z)|\s', '', 'g')) > 0), '') AS text FROM cut
 """)
 def empty_chapters_dropped(spark: SparkSession, folder: str) -> DataFrame:
@@ -510,6 +560,39 @@ def streamed_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return stages.streamed_corpus(spark, rows(spark, folder, "wiki_pages", "page_id", "title", "text"))
 
 
+@query(f"""
+    WITH {_PAGES}, named AS (SELECT {_FILE_NAME} AS file_name FROM pages WHERE {_KEPT})
+    SELECT file_name, count(*) AS batch, count(*) AS streamed, true AS alike FROM named GROUP BY file_name
+""")
+def corpus_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """For each file of the corpus, how often the batch plan and the stages give it, and whether with the same texts."""
+    sides = [f(spark, folder).select("file_name", F.xxhash64("text").alias("h"), F.lit(n).alias("batch"), F.lit(1 - n).alias("streamed")) for f, n in ((wiki_corpus, 1), (streamed_corpus, 0))]
+    texts = sides[0].unionAll(sides[1]).groupBy("file_name", "h").agg(F.sum("batch").alias("batch"), F.sum("streamed").alias("streamed"))
+    return texts.groupBy("file_name").agg(F.sum("batch").alias("batch"), F.sum("streamed").alias("streamed"), F.every(F.col("batch") == F.col("streamed")).alias("alike"))
+
+
+@query("""
+    WITH files AS (SELECT DISTINCT file_name, text FROM tokenizer_files WHERE text IS NOT NULL),
+    cut AS (SELECT file_name, string_split(regexp_replace(text, '(##+)', chr(1) || chr(2) || '\\1', 'g'), chr(1) || chr(2)) AS parts FROM files)
+    SELECT file_name || '_' || unnest(range(len(parts))) AS block_id, unnest(parts) AS text FROM cut
+""")
+def tokenize_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that the token ids of ``tokenize_blocks`` stand for."""
+    return tokenize_blocks(spark, folder).select("block_id", tokenize.text_column("tokens", _tokenizer()).alias("text"))
+
+
+@query(f"""
+    WITH RECURSIVE {_STAGE_BLOCKS}, files_left AS (
+        SELECT file_name, string_agg(c.text, chr(10) ORDER BY seq) AS text
+        FROM chapters c JOIN components k ON k.block_id = file_name || '_' || seq AND k.component = k.block_id GROUP BY file_name
+    ), cut_again AS (SELECT file_name, string_split(regexp_replace(text, '(##+)', chr(1) || chr(2) || '\\1', 'g'), chr(1) || chr(2)) AS parts FROM files_left)
+    SELECT file_name || '_' || unnest(range(len(parts))) AS block_id, unnest(parts) AS text FROM cut_again
+""")
+def training_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that the token ids of ``training_tokens`` stand for."""
+    return training_tokens(spark, folder).select("block_id", tokenize.text_column("tokens", _tokenizer()).alias("text"))
+
+
 @query()
 def training_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of the corpus without near-duplicate chapters."""
