@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import components, lookalike, near, pack, quality, split, tokens, truncation
+from quernstone.plans.lineage import staged
 from quernstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +91,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.groups(table(spark, folder, "same_blocks"), "block_id1", "block_id2", node="block_id")
 
 
+def p2_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts put together again from their pieces without the overlaps, and whether every piece is within the limit."""
+    pieces = p2_pieces(spark, folder)
+    own = F.when(F.col("piece") == 0, F.col("text")).otherwise(F.substring("text", F.col("overlap_size") + 1, F.length("text")))
+    ordered = F.array_sort(F.collect_list(F.struct("piece", own.alias("own"))))
+    # A file name may stand for several texts; its pieces tell them apart by the place of the last end.
+    whole = pieces.groupBy("item_table", "file_name", "text_digest").agg(F.array_join(F.transform(ordered, lambda p: p["own"]), "").alias("text"), F.every(F.length("text") <= F.col("max_size")).alias("within"))
+    return whole.select("item_table", "file_name", "text", "within")
+
+
+def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that the ids of all documents stand for."""
+    return p6_ids(spark, folder).select("doc_id", tokens.token_text("ids").alias("text"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode(table(spark, folder, "documents", "doc_id", "text")).select("doc_id", "ids")
@@ -101,6 +117,16 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack.pack(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", pack.Settings(limit.max_size))
 
 
+def p7_places(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document: whether its pieces follow each other without a gap, and lie in containers that are not overfull."""
+    limit = split.limits(table(spark, folder, "size_limits"), "pack")["documents"]
+    placed = staged(p7_containers(spark, folder))
+    fits = pack.fills(placed, limit.max_size).select("container_id", (F.col("tokens") <= limit.max_size).alias("fits"))
+    document = placed.join(fits, "container_id").groupBy("doc_id")
+    last = F.max("piece")
+    return document.agg(((F.count("*") == last + 1) & (F.sum("start") == last * (last + 1) / 2 * limit.max_size)).alias("whole"), F.every("fits").alias("fits"))
+
+
 def p7_fills(spark: SparkSession, folder: str) -> DataFrame:
     """How full every container is."""
     limit = split.limits(table(spark, folder, "size_limits"), "pack")["documents"]
@@ -118,7 +144,7 @@ def p8_sources(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.shares(table(spark, folder, "documents", "doc_id", "text", "source"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_ranks, p1_statistics, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p4_groups, p5_found, p6_ids, p7_containers, p7_fills, p8_found, p8_sources)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_ranks, p1_statistics, p2_found, p2_joined, p2_pieces, p3_found, p3_groups, p4_found, p4_forms, p4_groups, p5_found, p6_ids, p6_texts, p7_containers, p7_fills, p7_places, p8_found, p8_sources)}
 
 def _folded(column: str) -> str:
     """SQL for the consistent form, as far as the characters of the test tables go: one translation, then composition."""
@@ -171,6 +197,12 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT item_table, file_name FROM items JOIN size_limits USING (item_table)
         WHERE purpose = 'split' AND list_max(list_transform(regexp_split_to_array(text, '{_WALLS}'), lambda x: length(x))) > max_size
     """,
+    "p2_joined": """
+        SELECT 'corpus_files' AS item_table, file_name, text, true AS within FROM corpus_files WHERE text <> ''
+        UNION SELECT 'tokenizer_files', file_name, text, true FROM tokenizer_files WHERE text <> ''
+    """,
+    "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_places": "SELECT doc_id, true AS whole, true AS fits FROM documents",
     "p4_found": f"""WITH {_FORMS}
         SELECT DISTINCT x.page_field, x.page_id AS page_id1, y.page_id AS page_id2
         FROM forms x JOIN forms y ON x.page_field = y.page_field AND x.form = y.form AND x.value <> y.value AND x.page_id < y.page_id

@@ -1,10 +1,12 @@
 """Filling containers of fixed capacity with texts, lexical neighbours together.
 
-The scan's partitions are worked through in shards of ``Settings.shard`` items (consecutive items of the partition), so no
-text is shuffled. Each shard gets a BM25 inverted index. The largest unused item opens a container; the index returns the
-unused neighbours of that seed, best first, and those that fit are taken; what space is left goes to the largest unused
-items that fit. Items of containers that stay emptier than ``Settings.least_fill`` are packed again over shard borders by
-best fit, in groups of bounded size (sizes only; that round knows no neighbours).
+The scan's partitions are worked through in shards of consecutive items, so no text is shuffled; a shard ends at a number of
+items or of tokens, whichever comes first. Each shard gets a BM25 inverted index. The largest unused item opens a container;
+the index returns the unused neighbours of that seed, best first, and those that fit are taken until there is room for two
+usual items. That room goes to the best neighbour that fills it, alone or with another item, to within what
+``Settings.least_fill`` allows; where there is none, to the one or two items that fill it best. Items of containers that stay
+emptier than ``Settings.least_fill`` are packed again over shard borders by best fit, in groups of bounded size (sizes only;
+that round knows no neighbours).
 
 Defined results: an item larger than the capacity is divided: its full pieces fill containers of their own, its rest is
 packed like any item; nothing else is divided. Null and empty texts have size 0 and are placed with others of their shard
@@ -31,8 +33,11 @@ class Settings:
     capacity: int
     #: Items of an index. More give more and closer neighbours; the time grows in proportion.
     shard: int = 4096
-    #: Terms of a seed that query the index: those with the largest weight.
-    query_terms: int = 48
+    #: Tokens of an index; a shard ends with the texts that reach this number.
+    shard_tokens: int = 4_000_000
+    #: Terms of a seed that query the index: those with the largest weight, or all (None). Of 4,096 documents 2,572 come to
+    #: their container as neighbours with 48 terms, 2,722 with all of them, which takes 15 times as long.
+    query_terms: int | None = 48
     #: Hashed terms are pairs of consecutive token ids; their number bounds an index's vocabulary.
     term_bits: int = 20
     k1: float = 1.2
@@ -77,7 +82,7 @@ class Index:
         """BM25 of every item for the seed's terms of largest weight."""
         own = slice(self.first[seed], self.first[seed + 1])
         slots = self.term[own]
-        if len(slots) > self.query_terms:
+        if self.query_terms is not None and len(slots) > self.query_terms:
             slots = slots[np.argpartition(-self.weight[own], self.query_terms)[: self.query_terms]]
         counts = self.counts[slots]
         total = int(counts.sum())
@@ -100,25 +105,50 @@ def closest(sizes: np.ndarray, room: int) -> list[int]:
     return [n - 1] if small[n - 1] >= sums[at] else [at, int(partner[at])]
 
 
-def pack_shard(sizes: np.ndarray, index: Index, capacity: int) -> np.ndarray:
-    """Container number of each item (sizes at most the capacity)."""
-    container = np.full(len(sizes), -1, dtype=np.int64)
+#: How an item came to its container.
+SEED, RETRIEVED, BY_SIZE = 0, 1, 2
+
+
+def neighbour_and_filler(sizes: np.ndarray, live: np.ndarray, near: np.ndarray, room: int, slack: int) -> list[int]:
+    """The first of ``near`` that fills ``room`` but for ``slack``, alone or with the largest of ``live`` (ascending) that fits beside it."""
+    rest = room - sizes[near]
+    at = np.searchsorted(sizes[live], rest, side="right") - 1
+    at = np.where((at >= 0) & (live[at] == near), at - 1, at)  # an item is no filler for itself
+    filler = np.where(at >= 0, sizes[live[at]], 0)
+    full = np.flatnonzero(rest - filler <= slack)
+    if not len(full):
+        return []
+    first = full[0]
+    return [int(near[first])] + ([int(live[at[first]])] if at[first] >= 0 and filler[first] else [])
+
+
+def pack_shard(sizes: np.ndarray, index: Index, capacity: int, least_fill: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Container number of each item (sizes at most the capacity), and how it came there."""
+    container, how = np.full(len(sizes), -1, dtype=np.int64), np.full(len(sizes), BY_SIZE, dtype=np.int8)
     live = np.argsort(sizes, kind="stable")  # unused items, ascending
-    count = 0
+    count, slack = 0, int(capacity * (1 - least_fill))
     while len(live):
         seed = live[-1]
         room = capacity - int(sizes[seed])
-        container[seed] = count
-        # Room for two items of usual size is left to those that fill it best.
-        reserve = min(room, 2 * int(sizes[live[len(live) // 2]]))
-        if room > reserve:
+        container[seed], how[seed] = count, SEED
+        live = live[:-1]
+        if room and len(live):
             scores = index.scores(seed)
-            near = np.flatnonzero((scores > 0) & (container < 0) & (sizes <= room - reserve))
-            for at in near[np.argsort(-scores[near], kind="stable")]:
+            near = np.flatnonzero((scores > 0) & (container < 0) & (sizes <= room))
+            near = near[np.argsort(-scores[near], kind="stable")]
+            # Room for two items of usual size is left to those that fill it.
+            reserve = min(room, 2 * int(sizes[live[len(live) // 2]]))
+            for at in near[sizes[near] <= room - reserve]:
                 if sizes[at] <= room - reserve:
-                    container[at] = count
+                    container[at], how[at] = count, RETRIEVED
                     room -= int(sizes[at])
-        live = live[container[live] < 0]
+            live = live[container[live] < 0]
+            near = near[(container[near] < 0) & (sizes[near] <= room) & (sizes[near] > 0)]
+            if len(near) and (found := neighbour_and_filler(sizes, live, near, room, slack)):
+                container[found] = count
+                how[found[0]] = RETRIEVED
+                room -= int(sizes[found].sum())
+                live = live[container[live] < 0]
         while room and len(live) and (found := closest(sizes[live], room)):
             container[live[found]] = count
             room -= int(sizes[live[found]].sum())
@@ -127,7 +157,7 @@ def pack_shard(sizes: np.ndarray, index: Index, capacity: int) -> np.ndarray:
             empty = live[sizes[live] == 0]
             container[empty], live = count, live[len(empty) :]
         count += 1
-    return container
+    return container, how
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -151,22 +181,26 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return container
 
 
+#: Texts that are encoded before the size of a shard is looked at again.
+STEP = 128
+
+
 def pack(df: DataFrame, id: str, text: str, settings: Settings, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
-    """(``id``, piece, start, size, container_id): where each text, or each piece of one over the capacity, goes.
+    """(``id``, piece, start, size, container_id, retrieved): where each text, or each piece of one over the capacity, goes.
 
-    Sizes and starts are in tokens. Container ids are strings, unique over the whole table.
+    ``retrieved`` says whether it came there as a neighbour. Sizes and starts are in tokens. Container ids are strings, unique over the whole table.
     """
     capacity = settings.capacity
     kind = df.schema[id].dataType.simpleString()
-    names = [id, "piece", "start", "size", "shard", "container", "fill"]
-    schema = f"`{id}` {kind}, piece int, start bigint, size int, shard bigint, container bigint, fill int"
+    names = [id, "piece", "start", "size", "shard", "container", "fill", "retrieved"]
+    schema = f"`{id}` {kind}, piece int, start bigint, size int, shard bigint, container bigint, fill int, retrieved boolean"
 
     def packed(rows: list[pa.Array], lists: list[pa.ListArray], shard: int) -> pa.RecordBatch:
         keys = pa.concat_arrays(rows)
         ids = np.concatenate([x.flatten().to_numpy() for x in lists])
         lengths = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]).astype(np.int64)
         rests = np.where(lengths > capacity, lengths % capacity, lengths)
-        container = pack_shard(rests, Index(ids, lengths, settings), capacity) if len(rests) else rests
+        container, how = pack_shard(rests, Index(ids, lengths, settings), capacity, settings.least_fill)
         fills = np.bincount(container, weights=rests, minlength=int(container.max(initial=-1)) + 1).astype(np.int64)
         over = np.flatnonzero(lengths > capacity)
         # A text over the capacity: its full pieces first, then the rest, which is gone if the pieces were even.
@@ -180,30 +214,32 @@ def pack(df: DataFrame, id: str, text: str, settings: Settings, vocabulary: Voca
         sizes = np.concatenate([rests[keep], np.full(len(who), capacity)])
         numbers = np.concatenate([container[keep], len(fills) + np.arange(len(who))])
         filled = np.concatenate([fills[container[keep]], np.full(len(who), capacity)])
-        arrays = [keys.take(pa.array(at)), *(pa.array(x, k) for x, k in ((pieces, pa.int32()), (pieces * capacity, pa.int64()), (sizes, pa.int32()), (np.full(len(at), shard), pa.int64()), (numbers, pa.int64()), (filled, pa.int32())))]
+        retrieved = np.concatenate([how[keep] == RETRIEVED, np.zeros(len(who), dtype=bool)])
+        arrays = [keys.take(pa.array(at)), *(pa.array(x, k) for x, k in ((pieces, pa.int32()), (pieces * capacity, pa.int64()), (sizes, pa.int32()), (np.full(len(at), shard), pa.int64()), (numbers, pa.int64()), (filled, pa.int32()), (retrieved, pa.bool_())))]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         partition = TaskContext.get().partitionId()
-        rows, lists, held, shard = [], [], 0, 0
+        rows, lists, held, tokens, shard = [], [], 0, 0, 0
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                part = batch.slice(at, settings.shard - held)
+                part = batch.slice(at, min(STEP, settings.shard - held))
                 at, held = at + part.num_rows, held + part.num_rows
                 rows.append(part.column(0))
                 lists.append(encode_array(part.column(1), vocabulary))
-                if held == settings.shard:
+                tokens += len(lists[-1].values)
+                if held == settings.shard or tokens >= settings.shard_tokens:
                     yield packed(rows, lists, partition << 32 | shard)
-                    rows, lists, held, shard = [], [], 0, shard + 1
+                    rows, lists, held, tokens, shard = [], [], 0, 0, shard + 1
         if held:
             yield packed(rows, lists, partition << 32 | shard)
 
     first = staged(df.select(id, text).mapInArrow(work, schema))
     closed = F.col("fill") >= settings.least_fill * capacity
-    done = first.where(closed).select(id, "piece", "start", "size", F.concat_ws("-", F.lit("a"), "shard", "container").alias("container_id"))
+    done = first.where(closed).select(id, "piece", "start", "size", F.concat_ws("-", F.lit("a"), "shard", "container").alias("container_id"), "retrieved")
     return done.unionAll(_again(first.where(~closed), id, settings))
 
 
@@ -222,12 +258,12 @@ def _again(items: DataFrame, id: str, settings: Settings) -> DataFrame:
             order = table.sort_by([("size", "descending"), (id, "ascending"), ("piece", "ascending")])
             numbers = best_fit(order.column("size").to_numpy(), settings.capacity)
             ids = pa.array([f"b-{partition}-{n}" for n in numbers.tolist()])
-            yield from order.append_column("container_id", ids).to_batches()
+            yield from order.append_column("container_id", ids).append_column("retrieved", pa.array(np.zeros(len(ids), dtype=bool))).to_batches()
 
     spread = items.select(id, "piece", "start", "size").repartition(groups, F.xxhash64(id, "piece"))
-    return spread.mapInArrow(work, f"`{id}` {kind}, piece int, start bigint, size int, container_id string")
+    return spread.mapInArrow(work, f"`{id}` {kind}, piece int, start bigint, size int, container_id string, retrieved boolean")
 
 
 def fills(packed: DataFrame, capacity: int) -> DataFrame:
-    """Per container: items, tokens and the share of the capacity that is used."""
-    return packed.groupBy("container_id").agg(F.count("*").alias("items"), F.sum("size").alias("tokens")).withColumn("fill", F.col("tokens") / capacity)
+    """Per container: items, those that were retrieved as neighbours, tokens, and the share of the capacity that is used."""
+    return packed.groupBy("container_id").agg(F.count("*").alias("items"), F.count_if("retrieved").alias("retrieved"), F.sum("size").alias("tokens")).withColumn("fill", F.col("tokens") / capacity)

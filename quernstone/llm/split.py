@@ -126,37 +126,39 @@ def longest_run(points: np.ndarray) -> int:
 def split(df: DataFrame, id: str, text: str, item_table: str, limit: Limit) -> DataFrame:
     """Pieces of every text: their numbers, places, texts, and whether the end had to be cut without a boundary.
 
+    ``text_digest`` tells texts apart that share an id.
+
     Narrow: one pass over the scan behind the removal of duplicate rows, no text is compared with another.
     """
     kind = df.schema[id].dataType.simpleString()
-    schema = f"item_table string, `{id}` {kind}, piece int, start int, end int, text string, forced boolean, max_size int, overlap_size int, longest_run int"
-    names = ["item_table", id, "piece", "start", "end", "text", "forced", "max_size", "overlap_size", "longest_run"]
+    schema = f"item_table string, `{id}` {kind}, piece int, start int, end int, text string, forced boolean, max_size int, overlap_size int, longest_run int, text_digest bigint"
+    names = ["item_table", id, "piece", "start", "end", "text", "forced", "max_size", "overlap_size", "longest_run", "text_digest"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, value, digest in zip(*(c.to_pylist() for c in batch.columns)):
                 if not value:
                     continue
                 if len(value) <= limit.max_size:
-                    rows.append((name, 0, 0, len(value), value, False, 0))
+                    rows.append((name, 0, 0, len(value), value, False, 0, digest))
                     continue
                 points = np.frombuffer(value.encode("utf-32-le"), dtype=np.int32)
                 run = longest_run(points)
                 for k, (start, end, strength) in enumerate(pieces(points, limit)):
-                    rows.append((name, k, start, end, value[start:end], not strength, run))
+                    rows.append((name, k, start, end, value[start:end], not strength, run, digest))
             if rows:
-                names_, no, starts, ends, texts, forced, runs = zip(*rows)
+                names_, no, starts, ends, texts, forced, runs, digests = zip(*rows)
                 n = len(rows)
                 arrays = [
                     pa.array([item_table] * n), pa.array(names_, batch.column(0).type), *(pa.array(x, pa.int32()) for x in (no, starts, ends)),
-                    pa.array(texts, pa.string()), pa.array(forced), pa.array([limit.max_size] * n, pa.int32()), pa.array([limit.overlap] * n, pa.int32()), pa.array(runs, pa.int32()),
+                    pa.array(texts, pa.string()), pa.array(forced), pa.array([limit.max_size] * n, pa.int32()), pa.array([limit.overlap] * n, pa.int32()), pa.array(runs, pa.int32()), pa.array(digests, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     rows = df.select(F.col(id), F.col(text)).where(F.length(text) > 0)
     digest = rows.select(id, text, F.xxhash64(text).alias("_1"), F.xxhash64(F.lit("second"), F.col(text)).alias("_2"))
-    once = digest.groupBy(id, "_1", "_2").agg(F.first(text).alias(text)).select(id, text)
+    once = digest.groupBy(id, "_1", "_2").agg(F.first(text).alias(text)).select(id, text, "_1")
     return once.mapInArrow(cut, schema)
 
 

@@ -139,7 +139,7 @@ def test_neighbours_share_containers():
     lists = [tokens.encode_text(t) for _, t in texts]
     lengths = np.array(list(map(len, lists)))
     s = pack.Settings(600)
-    container = pack.pack_shard(lengths, pack.Index(np.concatenate([np.array(x, np.int32) for x in lists]), lengths, s), 600)
+    container, how = pack.pack_shard(lengths, pack.Index(np.concatenate([np.array(x, np.int32) for x in lists]), lengths, s), 600)
     topic = np.array([k for k, _ in texts])
     same = np.mean([(topic[container == c] == np.bincount(topic[container == c]).argmax()).mean() for c in set(container.tolist())])
     assert same > 0.6  # by chance: about 0.3
@@ -171,3 +171,35 @@ def test_fills(spark, small):
     rows = fills.collect()
     assert sum(r.tokens for r in rows) == total and all(r.tokens <= 4096 for r in rows)
     assert len(rows) <= -(-total // 4096) + 1
+
+
+def test_a_shard_ends_at_a_number_of_tokens(spark):
+    """Very long texts don't gather in one index, whatever their number."""
+    texts = [(i, "word " * (3000 if i % 3 == 0 else 5)) for i in range(400)]
+    df = spark.createDataFrame(texts, "doc_id int, text string").coalesce(1)
+    rows = pack.pack(df, "doc_id", "text", pack.Settings(1000, shard_tokens=50_000, least_fill=0.0)).collect()
+    shards = {}
+    for r in rows:
+        shards.setdefault(r.container_id.split("-")[1], set()).add(r.doc_id)
+    assert len(shards) > 3 and max(map(len, shards.values())) <= 2 * pack.STEP
+    sizes = {}
+    for r in rows:
+        sizes[r.doc_id] = sizes.get(r.doc_id, 0) + r.size
+    assert sizes == {i: len(tokens.encode_text(t)) for i, t in texts}
+
+
+def test_neighbour_and_filler():
+    sizes = np.array([5, 10, 20, 30, 60])
+    live = np.argsort(sizes)
+    assert pack.neighbour_and_filler(sizes, live, np.array([1, 3]), 40, 0) == [1, 3]
+    assert pack.neighbour_and_filler(sizes, live, np.array([3]), 60, 0) == []
+    assert pack.neighbour_and_filler(sizes, live, np.array([3]), 52, 2) == [3, 2]
+    assert pack.neighbour_and_filler(sizes, live, np.array([2]), 20, 0) == [2]
+
+
+def test_all_terms_may_be_asked(spark):
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(0, 50, n, dtype=np.int32) for n in rng.integers(5, 60, 80)]
+    lengths = np.array([len(x) for x in lists])
+    few, every = (pack.Index(np.concatenate(lists), lengths, pack.Settings(100, query_terms=n)) for n in (3, None))
+    assert (every.scores(0) >= few.scores(0) - 1e-12).all() and every.scores(0).sum() > few.scores(0).sum()
