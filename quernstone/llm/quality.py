@@ -60,20 +60,21 @@ def vocabulary(common_words: DataFrame) -> prose.Vocabulary:
 
 
 def statistics(df: DataFrame, id: str, text: str, words: prose.Vocabulary) -> DataFrame:
-    """``id``, a digest of the text and its statistics, one row a distinct (id, text)."""
+    """``id``, a digest of the text and its statistics, one row a distinct (id, text). Repeated rows are measured and then dropped,
+    so statistics are shuffled and texts are not."""
     kind = df.schema[id].dataType.simpleString()
-    names = [id, "digest", *prose.Statistics._fields]
+    names = [id, "digest", "_2", *prose.Statistics._fields]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 5]
         for batch in batches:
             if batch.num_rows:
-                rows = [prose.statistics(t or "", words) for t in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=names)
+                rows = [prose.statistics(t or "", words) for t in batch.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=names)
 
-    digest = df.select(id, text, F.xxhash64(text).alias("_1"), F.xxhash64(F.lit("second"), F.col(text)).alias("_2"))
-    once = digest.groupBy(id, "_1", "_2").agg(F.first(text).alias(text)).select(id, "_1", text)
-    return once.mapInArrow(measure, f"`{id}` {kind}, digest bigint, {STATISTICS}")
+    digests = df.select(id, F.xxhash64(text).alias("digest"), F.xxhash64(F.lit("second"), F.col(text)).alias("_2"), text)
+    measured = digests.mapInArrow(measure, f"`{id}` {kind}, digest bigint, _2 bigint, {STATISTICS}")
+    return measured.dropDuplicates([id, "digest", "_2"]).drop("_2")
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
