@@ -17,7 +17,7 @@ from quernstone.functions.script import simplification
 from quernstone.operators import blocks as B
 from quernstone.operators import dedup, messages, minhash, pages, tokenize
 from quernstone.plans import pipeline
-from quernstone.sources import sinks
+from quernstone.sources import sinks, streams
 from quernstone.sources.tables import table
 from quernstone.streaming import stages
 
@@ -491,18 +491,15 @@ def response_views(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events", "event_id", "props").select("event_id", messages.response_views(body).alias("views"))
 
 
-@query("""
-    WITH ends AS (
-        SELECT event_type AS topic, user_id % 4 AS p, min(event_id) AS earliest, max(event_id) + 1 AS latest,
-               max(CASE WHEN event_id % 3 = 0 THEN event_id END) AS committed FROM events GROUP BY ALL
-    ) SELECT topic, sum(latest - earliest)::BIGINT AS size, sum(latest - coalesce(committed, earliest))::BIGINT AS lag FROM ends GROUP BY topic
+@query(f"""
+    WITH {_PAGES}, sized AS (SELECT (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM pages WHERE {_KEPT}) AS articles)
+    SELECT 'pages' AS topic, pages AS size, 0::BIGINT AS lag FROM sized UNION ALL SELECT 'wikitext', articles, 0 FROM sized
+    UNION ALL SELECT 'html', articles, 0 FROM sized UNION ALL SELECT 'markdown', articles, articles FROM sized
 """)
 def topic_lag(spark: SparkSession, folder: str) -> DataFrame:
-    """Size and lag of topics (event types, with the event ids as positions)."""
-    held = table(spark, folder, "events", "event_id", "event_type", "user_id")
-    committed = F.max(F.when(F.col("event_id") % 3 == 0, F.col("event_id")))
-    ends = held.groupBy(F.col("event_type").alias("topic"), (F.col("user_id") % 4).alias("p")).agg(F.min("event_id").alias("earliest"), (F.max("event_id") + 1).alias("latest"), committed.alias("committed"))
-    return messages.topic_sizes(ends)
+    """Size of every topic of a run of the chain, and how much of it its reader has not taken in yet (nobody reads the last one)."""
+    topics, counts = stages.traced_chain(spark, rows(spark, folder, "wiki_pages", "page_id", "title", "text"))
+    return messages.topic_sizes(streams.folder_offsets(spark, topics, counts))
 
 
 @query(r"""

@@ -16,7 +16,7 @@ from quernstone.functions import text as T
 from quernstone.functions.script import simplification
 from quernstone.operators import pages as P
 from quernstone.plans.lineage import own_folder
-from quernstone.sources.streams import FolderTopic, KafkaTopic, as_messages, as_pages
+from quernstone.sources.streams import MESSAGE_SCHEMA, FolderTopic, KafkaTopic, as_messages, as_pages
 
 Topic = FolderTopic | KafkaTopic
 Transform = Callable[[DataFrame], DataFrame]
@@ -53,6 +53,30 @@ def run_chain(spark: SparkSession, stages: list[Stage]) -> list[dict]:
     return done
 
 
+def run_together(spark: SparkSession, stages: list[Stage], every: str = "1 second") -> list[dict]:
+    """The stages side by side, each taking in what the one before has written; they end in their order when all is used up.
+
+    Every stage runs on until the one before has ended and it has caught up; then it takes what is left and stops.
+    """
+    for stage in stages:
+        if isinstance(stage.source, FolderTopic):
+            stage.source.create(spark)
+    counted = _Rows()
+    spark.streams.addListener(counted)
+    running = [stage.start(spark, until_used_up=False, every=every) for stage in stages]
+    done = []
+    try:
+        for stage, query in zip(stages, running):
+            query.processAllAvailable()
+            query.stop()
+            done.append({"stage": stage.name, "rows": counted.of(str(query.runId))})
+    finally:
+        for query in running:
+            query.stop()
+        spark.streams.removeListener(counted)
+    return done
+
+
 class _Rows(StreamingQueryListener):
     """Adds up what every run takes in (a query itself remembers its last micro-batches only)."""
 
@@ -104,11 +128,18 @@ def wiki_chain(root: str, first: Topic, most: int = 100, simplify: tuple[str, st
     return [Stage(n, a, b, f, f"{root}/positions") for n, a, b, f in zip(names, topics, topics[1:], steps)], topics[-1]
 
 
-def streamed_corpus(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """The chain over a table of pages: (file_name, text) of its last topic."""
+def traced_chain(spark: SparkSession, pages: DataFrame) -> tuple[dict[str, FolderTopic], dict[str, int]]:
+    """The chain over a table of pages: its topics by name, and how many messages of each the next stage has taken in."""
     root = own_folder(spark, "chain")
     first = FolderTopic(f"{root}/pages")
     first.write(as_messages(pages))
-    stages, last = wiki_chain(root, first)
-    run_chain(spark, stages)
-    return as_pages(spark.read.schema("key string, value string").parquet(last.path)).select(T.file_name("title").alias("file_name"), F.col("text"))
+    chain, last = wiki_chain(root, first)
+    rows = {one["stage"]: one["rows"] for one in run_chain(spark, chain)}
+    topics = {stage.source.path.rsplit("/", 1)[-1]: stage.source for stage in chain} | {last.path.rsplit("/", 1)[-1]: last}
+    return topics, {stage.source.path.rsplit("/", 1)[-1]: rows[stage.name] for stage in chain}
+
+
+def streamed_corpus(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """The chain over a table of pages: (file_name, text) of its last topic."""
+    last = traced_chain(spark, pages)[0]["markdown"]
+    return as_pages(spark.read.schema(MESSAGE_SCHEMA).parquet(last.path)).select(T.file_name("title").alias("file_name"), F.col("text"))

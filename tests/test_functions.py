@@ -180,3 +180,14 @@ def test_all_traditional_characters(spark, one):
     assert len(old) == len(new) == len(set(old)) > 3000 and not set(BY_PHRASE) & set(old)
     assert one(lambda c: T.simplified(c, (old, new)), "臺灣的電腦軟體，歷史與圖書館") == "台湾的电脑软体，历史与图书馆"
     assert {old[new.index(b)] for b in "历"} and all(dict(zip(old, new))[a] == b for a, b in zip(TRADITIONAL, SIMPLIFIED))
+
+
+def test_rendering_of_more_wikitext():
+    assert render.to_html("{|\n! a !! b\n|-\n| style=x | 1 || [[p|q]]\n|}\nz") == "<table><tr>\n<th>a</th>\n<th>b</th>\n</tr><tr>\n<td>1</td>\n<td><a>q</a></td>\n</tr></table>\n<p>z</p>"
+    assert render.to_html("; t : m\n: n") == "<dl>\n<dt>t\n</dt><dd>m\n</dd><dd>n\n</dd></dl>"
+    assert render.to_html("a <nowiki>[[x]] <b></nowiki> c") == "<p>a [[x]] &lt;b&gt; c</p>"
+    assert render.to_html("see [https://x.y the site] and [https://x.y]<br/>H<sub>2</sub>O <bad>") == "<p>see <a>the site</a> and <br/>H<sub>2</sub>O &lt;bad&gt;</p>"
+    assert render.to_html("<syntaxhighlight lang=c>\na {{b}}\n  c\n</syntaxhighlight>") == "<p><syntaxhighlight>\na {{b}}\n  c\n</syntaxhighlight></p>"
+    assert render.to_html("* a\n** b\n# c") == "<ul>\n<li>a\n<ul>\n<li>b\n</li></ul>\n</li></ul>\n<ol>\n<li>c\n</li></ol>"
+    assert render.to_html("{| never ended\n| a") == "<table><tr>\n<td>a</td>\n</tr></table>"
+    assert render.to_html("__TOC__\n<gallery>\nFile:a.jpg\n</gallery>") == ""

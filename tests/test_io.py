@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from quernstone.functions.text import xml_escaped
 from quernstone.operators.tokenize import json_line
 from quernstone.plans.lineage import checkpointed, shared_dir, staged
+from quernstone.operators.messages import topic_sizes
 from quernstone.sources import files, sinks, web
-from quernstone.sources.streams import FolderTopic, KafkaTopic, as_messages
+from quernstone.sources.streams import FolderTopic, KafkaTopic, as_messages, folder_offsets, kafka_offsets
 from quernstone.streaming import retry, stages
 
 TEXTS = {"漢字 a%b_1.txt": "内容\r\nx\n", "plain.txt": "", "b.txt": "tab\t"}
@@ -197,3 +198,34 @@ def test_a_chain_counts_rows_of_many_batches(spark, tmp_path):
         assert stages.run_chain(spark, [stage]) == [{"stage": "copy", "rows": 6}]
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_a_topic_grows_with_each_message(spark, tmp_path):
+    topic = FolderTopic(f"{tmp_path}/t")
+    assert not topic.exists(spark) and topic.size(spark) == 0
+    topic.create(spark)
+    topic.create(spark)
+    assert topic.exists(spark) and topic.size(spark) == 0
+    for k in range(10):
+        topic.write(as_messages(spark.createDataFrame([(f"t{k}", "x")], "title string, text string").coalesce(1)))
+        assert topic.size(spark) == k + 1
+    lag = topic_sizes(folder_offsets(spark, {"t": topic}, {"t": 4})).first()
+    assert tuple(lag) == ("t", 10, 6)
+    topic.delete(spark)
+    topic.delete(spark)
+    assert not topic.exists(spark)
+
+
+def test_offsets_of_kafka_queries(spark):
+    progress = [{"sources": [{"description": "Kafka", "endOffset": '{"t":{"0":4,"1":2}}', "latestOffset": '{"t":{"0":9,"1":2}}'}]}]
+    assert sorted(map(tuple, kafka_offsets(spark, progress, {"t": {"0": 1}}).collect())) == [("t", 0, 1, 9, 4), ("t", 1, 0, 2, 2)]
+    assert tuple(topic_sizes(kafka_offsets(spark, progress)).first()) == ("t", 11, 5)
+    assert kafka_offsets(spark, []).count() == 0
+
+
+def test_stages_side_by_side(spark, tmp_path):
+    first = FolderTopic(f"{tmp_path}/pages")
+    chain, last = stages.wiki_chain(str(tmp_path), first)
+    first.write(as_messages(spark.createDataFrame([(f"t{k}", f"lead {k}") for k in range(5)] + [("R", "#REDIRECT [[x]]")], "title string, text string")))
+    assert [c["rows"] for c in stages.run_together(spark, chain)] == [6, 5, 5]
+    assert last.size(spark) == 5 and not spark.streams.active
