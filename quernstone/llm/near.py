@@ -150,8 +150,8 @@ def described(df: DataFrame, id: str, items: str, settings: Settings) -> DataFra
 
 
 def banded(all: DataFrame) -> DataFrame:
-    """(half, band) of every class."""
-    return all.select("half", F.explode("bands").alias("band")).distinct()
+    """(half, band) of every class; copies are dropped before their bands are rows."""
+    return all.groupBy("half").agg(F.first("bands").alias("bands")).select("half", F.explode("bands").alias("band"))
 
 
 def verified(candidates: DataFrame, all: DataFrame, settings: Settings) -> DataFrame:
