@@ -9,21 +9,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STARTS, EQUALS, CONTAINS = "starts", "equals", "contains"
-Rules = tuple[tuple[str, str], ...]
-
-# The wording of the rules, matched on lower-cased text (section titles: on simplified characters).
-TEMPLATES_DROPPED: Rules = (
-    ("cite", STARTS), ("main", STARTS), ("ref", STARTS), ("redirect", STARTS),
-    ("reflist", EQUALS), ("see also", EQUALS), ("wikisource further reading", EQUALS), ("wiktionary", EQUALS), ("commonscat", EQUALS), ("wayback", EQUALS), ("notetag", EQUALS), ("cjk-new-char", EQUALS),
-    ("-", EQUALS), ("stem", EQUALS), ("authority control", EQUALS), ("efn", EQUALS), ("r", EQUALS), ("otheruses", EQUALS), ("not", EQUALS), ("about", EQUALS),
-    ("sidebar", CONTAINS), ("navigation", CONTAINS), ("学科", CONTAINS), ("侧边栏", CONTAINS), ("link", CONTAINS),
-)
-FIRST_TEMPLATES_KEPT: Rules = (("noteta", EQUALS),)
-LINKS_DROPPED: Rules = (("file:", STARTS), ("category:", STARTS))
-SECTIONS_DROPPED: Rules = (
-    ("参见", CONTAINS), ("参考", CONTAINS), ("参阅", CONTAINS), ("链接", CONTAINS), ("连接", CONTAINS), ("连结", CONTAINS), ("引用", CONTAINS), ("注释", CONTAINS),
-    ("参看", EQUALS), ("另见", EQUALS), ("扩展阅读", EQUALS), ("延伸阅读", EQUALS),
-)
+Rules = dict[str, tuple[str, ...]]
+
+# The wording of the rules by kind, matched on lower-cased text (section titles: on simplified characters).
+TEMPLATES_DROPPED: Rules = {
+    STARTS: ("cite", "main", "ref", "redirect"),
+    EQUALS: (
+        "reflist", "see also", "wikisource further reading", "wiktionary", "commonscat", "wayback", "notetag", "cjk-new-char",
+        "-", "stem", "authority control", "efn", "r", "otheruses", "not", "about",
+    ),
+    CONTAINS: ("sidebar", "navigation", "学科", "侧边栏", "link"),
+}
+FIRST_TEMPLATES_KEPT: Rules = {EQUALS: ("noteta",)}
+LINKS_DROPPED: Rules = {STARTS: ("file:", "category:")}
+SECTIONS_DROPPED: Rules = {
+    CONTAINS: ("参见", "参考", "参阅", "链接", "连接", "连结", "引用", "注释"),
+    EQUALS: ("参看", "另见", "扩展阅读", "延伸阅读"),
+}
 LEAST_VIEWS, LEAST_LENGTH = 10_000, 500
 # Frequent traditional characters and their simplified forms, one for one, for parsers that work without a session
 # (all that occur in the rules above are among them). ``script.simplification`` has all of them.
@@ -34,12 +36,10 @@ SIMPLIFIED = "参见阅连链结注释扩读献页书来时国学会长东车马
 def matches(text: Column, rules: Rules) -> Column:
     """Whether any rule holds for ``text``; constants fold, an empty table matches nothing."""
     tests = {STARTS: Column.startswith, EQUALS: Column.__eq__, CONTAINS: Column.contains}
-    return reduce(Column.__or__, (tests[kind](text, F.lit(word)) for word, kind in rules), F.lit(False))
+    return reduce(Column.__or__, (tests[kind](text, F.lit(word)) for kind, words in rules.items() for word in words), F.lit(False))
 
 
 def predicate(rules: Rules) -> Callable[[str], bool]:
     """The same as a Python function, for use inside parsers."""
-    starts = tuple(w for w, kind in rules if kind == STARTS)
-    equal = {w for w, kind in rules if kind == EQUALS}
-    inside = [w for w, kind in rules if kind == CONTAINS]
+    starts, equal, inside = rules.get(STARTS, ()), frozenset(rules.get(EQUALS, ())), rules.get(CONTAINS, ())
     return lambda text: text in equal or text.startswith(starts) or any(w in text for w in inside)

@@ -68,7 +68,7 @@ def test_refs_and_comments(one):
 def test_rules(one):
     assert one(lambda c: matches(F.col(c), SECTIONS_DROPPED), "外部链接") is True
     assert one(lambda c: matches(F.col(c), SECTIONS_DROPPED), "历史") is False
-    assert one(lambda c: matches(F.col(c), ()), "x") is False
+    assert one(lambda c: matches(F.col(c), {}), "x") is False
     assert predicate(SECTIONS_DROPPED)("另见") and not predicate(SECTIONS_DROPPED)("另见x")
     assert len(TRADITIONAL) == len(SIMPLIFIED) == len(set(TRADITIONAL)) <= 200
     assert one(T.simplified, "參考文獻") == "参考文献"
