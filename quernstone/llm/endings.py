@@ -12,7 +12,7 @@ from typing import NamedTuple
 WHOLE, OPEN, CUT = 0, 1, 2
 
 #: What may follow a cut: blanks, half a character, an omission mark, an invitation to read on.
-TRAIL = re.compile(r"[\s�​﻿]+\Z")
+TRAIL = "\ufffd\u200b\ufeff"
 OMISSION = re.compile(r"(?:…+|\.{3,}|\[\s*(?:…|\.{3}|more)\s*\]|[（(\[]\s*(?:阅读全文|閱讀全文|未完|待续|待續|continued|read more|more|weiterlesen)[^）)\]]{0,6}[）)\]]|(?:阅读全文|閱讀全文|read more|continue reading|weiterlesen)\s*[»>]*)\Z", re.I)
 #: The full ellipsis of Chinese print, which writers set after a statement; only other texts can tell it from a cut.
 WRITTEN = re.compile(r"\S……\Z")
@@ -41,7 +41,10 @@ def stripped(text: str) -> tuple[str, bool, bool, bool]:
     """The text without what may follow a cut; whether an omission mark did, one that invites to read on, half a character."""
     omitted = invited = broken = False
     while True:
-        short = TRAIL.sub("", text)
+        end = len(text)
+        while end and (text[end - 1].isspace() or text[end - 1] in TRAIL):
+            end -= 1
+        short = text[:end]
         broken |= "�" in text[len(short) :]
         match = OMISSION.search(short[-40:])
         if not match:
@@ -146,7 +149,7 @@ def _ending(text: str) -> Ending:
         return Ending(CUT, "bracket", unit)
     item = ITEM.match(line)
     said = line[item.end() :] if item else line
-    prose = bool(re.search(r"[，。；！？]|[.!?,;] +\S", said)) or len(re.findall(r"[a-zäöüß]+(?= )", said)) >= 5
+    prose = bool(re.search(r"[，。；！？]|[.!?,;] +\S", said)) or len(re.findall(r"[a-zäöüß] ", said)) >= 5
     if ended.endswith(tuple(PAUSE)) and prose:
         return Ending(CUT, "pause", unit)
     if item and not prose:

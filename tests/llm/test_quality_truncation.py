@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from bisect import bisect_left, bisect_right
 
 import pytest
@@ -305,3 +306,10 @@ def test_queries_on_the_small_tables(spark, small):
     found = QUERIES["p8_found"](spark, small)
     shares = QUERIES["p8_sources"](spark, small).agg(F.sum("documents"), F.sum("cut_documents")).first()
     assert tuple(shares) == (spark.read.parquet(f"{small}/documents.parquet").count(), found.count())
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000, "a" + " " * 1_000_000 + "b", "。" + " \u200b" * 500_000, "1," * 500_000, "<a " * 300_000, "[[" * 300_000, "（" * 500_000, "= " * 500_000, "|" * 500_000, "a b " * 300_000, "…" * 500_000])
+def test_endings_are_linear(text):
+    began = time.perf_counter()
+    endings.ending(text)
+    assert time.perf_counter() - began < 5
